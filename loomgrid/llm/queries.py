@@ -17,6 +17,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "lang", "pool", "copy")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgrid.llm import substring_dedup
+
+    return substring_dedup.report_repeats(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgrid.llm import line_dedup
+
+    return line_dedup.drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgrid.llm import near_dedup
 
@@ -50,7 +62,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_near_dedup, op6_decontamination, op9_language_id, op10_sharding, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_line_dedup, op4_near_dedup, op6_decontamination, op9_language_id, op10_sharding, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -56,6 +56,15 @@ def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges; equal bytes have equal hashes wherever they are."""
+    n = len(buf)
+    pw, inv = _pow(n + 1)
+    cum = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUES[buf] * pw[:n], out=cum[1:])
+    return mix((cum[end] - cum[start]) * inv[start] + (end - start).astype(np.uint64))
+
+
 @dataclass
 class Words:
     hash: np.ndarray  #: 64-bit hash of each word
@@ -84,11 +93,7 @@ def words(arr: pa.Array) -> Words:
         end[:-1] &= ~isw[1:]
         end[cut - 1] = isw[cut - 1]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    pw, inv = _pow(n + 1)
-    val = _VALUES[buf]
-    cum = np.zeros(n + 1, np.uint64)
-    np.cumsum(val * pw[:n], out=cum[1:])
-    h = mix((cum[e] - cum[s]) * inv[s] + (e - s).astype(np.uint64))
+    h = span_hashes(buf, s, e)
     bounds = np.searchsorted(s, off)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(bounds))
     return Words(h, s, e, bounds, doc, buf, off)
