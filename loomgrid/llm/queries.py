@@ -35,12 +35,32 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "copies", "keep")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds media, so each page becomes a container, its HTML cut into samples."""
+    from loomgrid.llm import media
+
+    return media.media_tracks(media.containers(table(spark, sf_dir, "pages"), "page_id", "html")).withColumnRenamed("id", "page_id")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgrid.llm import decontaminate
 
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgrid.llm import brown_lm
+
+    docs = table(spark, sf_dir, "documents")
+    return brown_lm.score(docs, brown_lm.train(docs))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgrid.llm import secret_scan
+
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgrid.llm import langid
 
@@ -62,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_line_dedup, op4_near_dedup, op6_decontamination, op9_language_id, op10_sharding, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_line_dedup, op4_near_dedup, op5_media, op6_decontamination, op7_lm_scoring, op8_secret_scan, op9_language_id, op10_sharding, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
