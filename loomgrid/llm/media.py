@@ -43,7 +43,6 @@ class Track:
     size: int = 0  #: of every sample, if they are equal
     defaults: tuple[int, int, int] = (0, 0, 0)  #: duration, size, flags of fragments
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  #: duration, offset, size, sync
-    decode_time: int = 0
 
 
 @dataclass
@@ -129,6 +128,7 @@ def _leaf(data: bytes, kind: bytes, at: int, end: int, movie: Movie, track: Trac
 def _fragment(data: bytes, base: int, at: int, end: int, movie: Movie) -> None:
     """One traf box: its runs of samples go to their track."""
     track, defaults, offset = None, (0, 0, 0), base
+    origin = base
     for kind, _, a, b in boxes(data, at, end):
         if kind == b"tfhd":
             flags, ident = struct.unpack_from(">II", data, a)
@@ -138,7 +138,7 @@ def _fragment(data: bytes, base: int, at: int, end: int, movie: Movie) -> None:
                 return
             defaults, p = list(track.defaults), a + 8
             if flags & 1:
-                offset = struct.unpack_from(">Q", data, p)[0]
+                origin = offset = struct.unpack_from(">Q", data, p)[0]
                 p += 8
             p += 4 * bool(flags & 2)
             for bit, k in ((8, 0), (16, 1), (32, 2)):
@@ -149,7 +149,7 @@ def _fragment(data: bytes, base: int, at: int, end: int, movie: Movie) -> None:
             flags, n = struct.unpack_from(">II", data, a)
             flags, p, first = flags & 0xFFFFFF, a + 8, None
             if flags & 1:
-                offset = base + struct.unpack_from(">i", data, p)[0]
+                offset = origin + struct.unpack_from(">i", data, p)[0]
                 p += 4
             if flags & 4:
                 first = struct.unpack_from(">I", data, p)[0]
