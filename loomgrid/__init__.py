@@ -1,0 +1 @@
+"""Entity-component registries on Spark."""
