@@ -64,14 +64,13 @@ def resolve_arithmetic(text: str | None) -> str | None:
         return text
 
 
-@F.pandas_udf("string")
 def _arithmetic(texts: pd.Series) -> pd.Series:
     return texts.map(resolve_arithmetic, na_action="ignore")
 
 
 def arithmetic(text: Column) -> Column:
     """``resolve_arithmetic`` of a column, in Arrow batches; numbers stay in the JVM's view."""
-    return _arithmetic(text)
+    return F.pandas_udf(_arithmetic, "string")(text)
 
 
 def maybe_arithmetic(text: Column) -> Column:
