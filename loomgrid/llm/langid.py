@@ -93,7 +93,13 @@ class Model:
         """(words, states) log scores, and the words' scripts."""
         script = word_scripts(w)
         code, first = trigrams(w)
-        s = np.add.reduceat(self.table[code], first, axis=0) if len(first) else np.zeros((0, len(self.states)), np.float32)
+        s = np.zeros((len(first), len(self.states)), np.float32)
+        known = np.flatnonzero(self.table.any(0))
+        table = np.ascontiguousarray(self.table[:, known])
+        for lo in range(0, len(first), 32_768):  # a trigram's row of scores is wide: few at a time
+            a, hi = first[lo], min(lo + 32_768, len(first))
+            b = first[hi] if hi < len(first) else len(code)
+            s[lo:hi, known] = np.add.reduceat(table[code[a:b]], first[lo:hi] - a, axis=0)
         can = self.scripts[script]
         s = np.where(can.sum(1, keepdims=True) > 1, s, 0).astype(np.float32)
         s = np.where(can, s, np.float32(0))
@@ -205,7 +211,7 @@ def _accepts(r: dict, model: Model, min_share: float) -> np.ndarray:
 def _labeller(model: Model, min_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(model.states, pa.string())
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", 2 << 20):
             r = spans_of(b.column("text"), model)
             none = r["letters"] == 0
             lang = names.take(pa.array(np.where(none, 0, r["top"]), mask=none))
@@ -231,7 +237,7 @@ def keep_identified(docs: DataFrame, model: Model, min_share: float = MIN_SHARE)
     """The documents of one known dominant language, all columns kept, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", 2 << 20):
             yield b.filter(pa.array(_accepts(spans_of(b.column("text"), model), model, min_share)))
 
     return docs.mapInArrow(run, docs.schema)
