@@ -50,7 +50,8 @@ def component_type_table(keyvalue_store: DataFrame, csv_tables: dict[str, DataFr
 def loaded_registry(spark: SparkSession, keyvalue_store: DataFrame, csv_tables: dict, entity_id_table: DataFrame, component_type_table: DataFrame) -> Registry:
     """The spine and the metadata take the place of component tables of their names."""
     reg = Registry(spark)
-    reg.update({**T.component_tables(keyvalue_store, csv_tables), "entity_id": entity_id_table, "component_type": component_type_table})
+    reg.update(T.component_tables(keyvalue_store, csv_tables), lazy=True)
+    reg.update({"entity_id": entity_id_table, "component_type": component_type_table})
     return reg
 
 
@@ -63,7 +64,7 @@ def derived_registry(initial_validated_registry: Registry, load_time: Any = None
     old = existing_registry.tables if existing_registry else None
     times = existing_registry.time_fields() if existing_registry and load_time is not None else None
     out = Registry(initial_validated_registry.spark, schemas=initial_validated_registry.schemas)
-    out.update(D.derive(initial_validated_registry.tables, load_time, old, times))
+    out.update(D.derive(initial_validated_registry.tables, load_time, old, times), lazy=True)
     return out
 
 
@@ -76,7 +77,7 @@ def _validated(reg: Registry, existing: Registry | None) -> Registry:
     tables = {k: t for k, t in reg.tables.items() if k != "invalid_field"}
     done, invalid, declared = validate(tables, existing.tables if existing else None)
     out = Registry(reg.spark)
-    out.update({**done, "invalid_field": invalid})
+    out.update({**done, "invalid_field": invalid}, lazy=True)
     for kind, schema in {**reg.schemas, **declared}.items():
         out.declare_schema(kind, schema)
     return out

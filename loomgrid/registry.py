@@ -70,12 +70,14 @@ class Registry:
     def known_component_types(self) -> list[str]:
         return list({**self.tables, **self.schemas})
 
-    def update(self, components: dict[str, Any]) -> None:
-        """Replace whole tables; a pandas or Arrow table or a list of rows does as well."""
+    def update(self, components: dict[str, Any], lazy: bool = False) -> None:
+        """Replace whole tables; a pandas or Arrow table or a list of rows does as well. They
+        are settled, unless ``lazy`` as for tables that go on to a next step."""
         for kind, table in components.items():
             df = table if isinstance(table, DataFrame) else self.spark.createDataFrame(table)
             known = self.tables[kind].schema if kind in self.tables else self.schemas.get(kind)
-            self.tables[kind] = settle(without_null_types(df, known))
+            df = without_null_types(df, known)
+            self.tables[kind] = df if lazy else settle(df)
         self._times = None
 
     def declare_schema(self, kind: str, schema: StructType) -> None:

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from loomgrid.registry import Registry
 
-MANIFEST = "_registry.json"
+MANIFEST = "registry.json"
 
 
 def _path(spark: SparkSession, text: str):
