@@ -166,6 +166,27 @@ def test_flows(spark, farm):
         ETLSystem().execute(m, "b")
 
 
+def test_checks(farm, spark):
+    from loomgrid import checks
+
+    assert checks.unexpected_components(farm, "barn", {"hay"}) == {"place"}
+    assert checks.write_time(farm, "description", "meal") is None
+    assert checks.schema_exists(spark, "default") and not checks.schema_exists(spark, "no_such_schema")
+
+
+def test_stream_of_manifests(spark, tmp_path):
+    import json
+
+    from loomgrid.streaming.updates import merge_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"key": "k", "yaml": "note:\n  - field:\n      at: {type: int, time_dimension: true}\nx:\n  - note: {value: hello}\n"}))
+    reg = Registrar(spark=spark)
+    texts = spark.readStream.schema("key string, yaml string").json(str(tmp_path / "in"))
+    merge_stream(texts, reg, str(tmp_path / "cp"), availableNow=True).awaitTermination()
+    assert [(r["note.value"], r["note.at"]) for r in reg.view("note").collect()] == [("hello", 0)]
+
+
 def test_registry_of_given_tables(spark):
     reg = Registry(spark)
     assert reg.component_types == [] and "nothing" in reg.summarize_components() and reg.get("x").columns == ["entity_id", "value"]
