@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,11 @@ def schema_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.databaseExists(name)
 
 
-def unexpected_components(registrar: Registrar, alias: str, expected: set[str]) -> set[str]:
+def unexpected_components(registrar: Registrar, alias: str, expected: Iterable[str]) -> set[str]:
     return set(registrar.view_entity_df(alias)).difference(expected, ALWAYS_THERE)
 
 
-def write_time(registrar: Registrar, component_type: str, alias: str) -> float | None:
+def write_time(registrar: Registrar, component_type: str, ref: str) -> float | None:
     """The greatest time of an entity's rows, whatever their order."""
-    top = registrar.view(component_type, alias).agg(F.max(col(f"{component_type}.time"))).first()[0]
+    top = registrar.view(component_type, ref).agg(F.max(col(f"{component_type}.time"))).first()[0]
     return None if top is None else float(top)

@@ -17,10 +17,13 @@ FORMAT_GUIDE = "format_guide.yaml"
 
 
 def dhash(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()[:12]
+    """Id of a text."""
+    digest = hashlib.sha256(text.encode())
+    return digest.hexdigest()[:12]
 
 
 def get_id(file_id: str, path: str) -> str:
+    """Id of an entity by its source and its path there."""
     return dhash(f"{file_id}:{path}")
 
 

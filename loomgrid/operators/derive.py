@@ -13,6 +13,8 @@ from loomgrid.operators.validate import rows_of
 from loomgrid.tables import PARENT, col, empty, settle
 
 Tables = dict[str, DataFrame]
+Rows = dict[str, dict]
+Fields = dict[str, list[str]]
 #: Parents and fields up to this many rows are walked on the driver.
 DRIVER_ROWS = 200_000
 
@@ -64,10 +66,10 @@ def resolve_same_as(tables: Tables, existing: Tables | None = None) -> Tables:
     return out
 
 
-def reference_fields(fields: list[dict], spine: list[dict], kind: str = "entity_ref") -> dict[str, list[str]]:
+def reference_fields(fields: list[dict], spine: list[dict], kind: str = "entity_ref") -> Fields:
     """Fields of a declared type by component type; own declarations only."""
     key = {r["value"]: r["entity_key"] for r in spine}
-    out: dict[str, list[str]] = {}
+    out: Fields = {}
     for r in fields:
         owner = key.get(r["entity_id"])
         if r.get("type") == kind and owner and r.get("value") and r["value"] not in out.get(owner, []):
@@ -135,7 +137,7 @@ def strip_descriptions(tables: Tables, fields: dict[str, list[str]]) -> Tables:
 def inherited_fields(fields: list[dict], parents: list[dict]) -> list[dict]:
     """Field rows with those of all ancestors, on the driver: breadth first, the nearest
     definition counts, cycles end. Own rows keep their index, others follow it."""
-    own: dict[str, dict[str, dict]] = {}
+    own: dict[str, Rows] = {}
     for r in fields:
         if r.get("value"):
             own.setdefault(r["entity_id"], {})[r["value"]] = r
@@ -250,7 +252,7 @@ def derive(tables: Tables, load_time: Any = None, existing: Tables | None = None
     tables = strip_descriptions(tables, reference_fields(fields, spine, "description"))
     tables = inherit_fields(tables)
     if load_time is not None:
-        skip = ("field", "entity_id", "component_type", "parent")
+        skip = ("parent", "component_type", "entity_id", "field")
         times = {**{k: v for k, v in (existing_times or {}).items() if k not in skip}, **time_fields(rows_of(tables.get("field")), spine)}
         tables = fill_time(tables, load_time, times)
     return tables

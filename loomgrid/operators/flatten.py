@@ -13,7 +13,7 @@ from loomgrid.tables import KEYS, META, SPINE, empty
 
 PAIRS = "path string, value string, ord long"
 #: ``<entity path>[<index>].<component>[.<field>]``; greedy, so the last index splits.
-PATH = r"(?s)^(.+)\[(\d+)\]\.(.+)$"
+PATH = r"(?s)^(.+)[\[]([0-9]+)[\]][.](.+)$"
 TRUE_TEXTS = ("true", "1", "yes")
 
 
@@ -132,12 +132,12 @@ def flagged(kvs: DataFrame, flag: str) -> DataFrame:
 
 def component_metadata(kvs: DataFrame, csv_tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """The ``component_type`` table: one row a component instance, with its type's flags."""
-    out = kvs.select("entity_id", "component_index", "component_type", "modifier").distinct()
+    out = kvs.select(*META.names[:4]).distinct()
     for flag in ("derived", "skip_on_export"):
         out = out.join(flagged(kvs, flag).withColumn(flag, F.lit(True)), "component_type", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
     out = out.select(*META.names)
     for name, table in (csv_tables or {}).items():
-        out = out.unionByName(table.select("entity_id", "component_index", F.lit(name).alias("component_type"), F.lit(None).cast("string").alias("modifier"), F.lit(False).alias("derived"), F.lit(False).alias("skip_on_export")))
+        out = out.unionByName(table.select(*KEYS[:2], F.lit(name).alias("component_type"), F.lit(None).cast("string").alias("modifier"), F.lit(False).alias("derived"), F.lit(False).alias("skip_on_export")))
     return out
 
 

@@ -15,6 +15,7 @@ from loomgrid.functions import coerce
 from loomgrid.tables import ENGINE_TYPES, VIOLATION, col, empty
 
 Schemas = dict[str, dict[str, dict[str, Any]]]
+TRUE_TEXTS = ("yes", "true", "1")
 NUMBERS = ("int", "float", "rating")
 
 
@@ -32,7 +33,7 @@ def parse_range(text: Any) -> list[str] | None:
 def _flag(value: Any, none: bool) -> bool:
     if value is None:
         return none
-    return value.strip().lower() in ("true", "1", "yes") if isinstance(value, str) else bool(value)
+    return value.strip().lower() in TRUE_TEXTS if isinstance(value, str) else bool(value)
 
 
 def build_schemas(types: Iterable[str], fields: list[dict], spine: list[dict]) -> Schemas:
@@ -108,7 +109,7 @@ def violations(df: DataFrame, kind: str, schema: dict[str, dict[str, Any]]) -> D
             allowed = spec["range"]
             out = ~value.isin(*allowed) if allowed else F.lit(True)
             found.append(F.when(value.isNotNull() & out, F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"), F.lit("range").alias("error_type"))))
-    if not found or "entity_id" not in df.columns or "component_index" not in df.columns:
+    if not found or not {"entity_id", "component_index"} <= set(df.columns):
         return None
     rows = df.select("entity_id", F.col("component_index").cast("bigint").alias("component_index"), F.explode(F.array_compact(F.array(*found))).alias("v"))
     return rows.select("entity_id", "component_index", F.lit(kind).alias("component_type"), "v.field", "v.value", "v.error_type")

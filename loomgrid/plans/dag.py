@@ -8,16 +8,18 @@ from collections.abc import Callable, Iterable
 from types import ModuleType
 from typing import Any
 
+Flow = ModuleType | str
+Flows = Flow | list[Flow]
 _PACKAGES: list[str] = ["loomgrid.plans"]
 
 
-def register_dataflow_package(name: str) -> None:
+def register_dataflow_package(name):
     """Let modules of a package be named relative to it; packages are tried in order."""
     if name not in _PACKAGES:
         _PACKAGES.append(name)
 
 
-def resolve_dataflow(flow: ModuleType | str) -> ModuleType:
+def resolve_dataflow(flow: Flow) -> ModuleType:
     if isinstance(flow, ModuleType):
         return flow
     names = [f"{p}.{flow}" for p in _PACKAGES]
@@ -63,14 +65,14 @@ class Dag:
         return {t: value(t) for t in targets}
 
 
-def _modules(flows: ModuleType | str | list) -> list[ModuleType]:
+def _modules(flows: Flows) -> list[ModuleType]:
     return [resolve_dataflow(f) for f in (flows if isinstance(flows, list) else [flows])]
 
 
 class ETLSystem:
     """Runs dataflows; keeps no state between runs."""
 
-    def execute(self, dataflows: ModuleType | str | list, final_vars: str | list[str] | None = None, adapters: list | None = None, **inputs: Any) -> Any:
+    def execute(self, dataflows: Flows, final_vars: Any = None, adapters: Any = None, **inputs: Any) -> Any:
         """Values of ``final_vars``, by default each module's ``FINAL_VAR``: bare if one name
         is asked for, by name if a list is. Each adapter sees (name, value) of the results."""
         modules = _modules(dataflows)
@@ -87,5 +89,5 @@ class ETLSystem:
                 adapter(name, value)
         return out[final_vars] if isinstance(final_vars, str) else out
 
-    def outputs(self, dataflows: ModuleType | str | list) -> list[str]:
+    def outputs(self, dataflows: Flows) -> list[str]:
         return list(Dag(_modules(dataflows)).nodes)

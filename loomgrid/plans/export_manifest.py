@@ -15,6 +15,7 @@ from loomgrid.registry import Registry
 from loomgrid.sources.manifest import builtins_tags
 from loomgrid.tables import KEYS, PARENT, col, empty
 
+Tables = dict[str, DataFrame]
 FINAL_VAR = "exported_manifest_filepaths"
 
 
@@ -26,7 +27,7 @@ def _exportable(path: Column) -> Column:
     return path.isNotNull() & mask
 
 
-def components(registry: Registry, collapse_time_dimension: bool = True) -> dict[str, DataFrame]:
+def components(registry: Registry, collapse_time_dimension=True) -> Tables:
     """All tables; those with a time dimension as their latest rows if collapsing."""
     out = {k: latest(t, registry.time_field(k)) if collapse_time_dimension else t for k, t in registry.tables.items()}
     out.setdefault("parent", empty(registry.spark, PARENT))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
 from types import ModuleType
 from typing import Any
 
@@ -17,6 +16,9 @@ from loomgrid.registry import Registry
 from loomgrid.sources import store
 
 
+Frames = dict[str, pd.DataFrame]
+
+
 def default_session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
@@ -53,10 +55,10 @@ class Registrar:
     def update(self, input_dirs: Any = None, time: Any = None, **inputs: Any) -> None:
         """Merge files, folders and texts (``yaml_strings``, ``python_strings``). ``time``
         fills time dimensions of the new rows that are null."""
-        batch = self._etl.execute(self.base_etl_module(), spark=self._registry.spark, input_dirs=input_dirs or [], load_time=time, existing_registry=self._registry, **inputs)
+        batch = self._etl.execute(self.base_etl_module(), existing_registry=self._registry, spark=self._registry.spark, load_time=time, input_dirs=input_dirs or (), **inputs)
         self._registry.merge(batch)
 
-    def validate_write(self, yaml_string: str) -> set[str]:
+    def validate_write(self, yaml_string) -> set[str]:
         """Component types a text refers to. Raises if one stands as a child entity or isn't known."""
         known = set(self._registry.known_component_types)
         if nested := write_safety.nested_component_names(yaml_string, known):
@@ -64,13 +66,13 @@ class Registrar:
         if unknown := write_safety.unknown_component_types(yaml_string, known):
             texts = [f"{n} (did you mean: {', '.join(near)}?)" if near else n for n, near in unknown.items()]
             raise ValueError(f"Unknown component types: {'; '.join(texts)}. Define them first, as top-level entities with component_type and field.")
-        parsed = yaml.safe_load(yaml_string)
-        return write_safety.referenced_component_types(parsed) if isinstance(parsed, dict) else set()
+        found = yaml.safe_load(yaml_string)
+        return set() if not isinstance(found, dict) else write_safety.referenced_component_types(found)
 
     def overwrite(self, component_type: str, table: Any) -> None:
         self._registry.update({component_type: table})
 
-    def export_manifest(self, output_dir: str | Path | None = None, collapse_time_dimension: bool = True) -> list[str]:
+    def export_manifest(self, output_dir: Any = None, collapse_time_dimension=True) -> list[str]:
         return self._etl.execute("export_manifest", registry=self._registry, output_dir=str(output_dir or ""), collapse_time_dimension=collapse_time_dimension)
 
     def load_dataflow(self, flow: ModuleType | str) -> None:
@@ -79,7 +81,7 @@ class Registrar:
         if module not in self._flows:
             self._flows.append(module)
 
-    def execute(self, final_vars: str | list[str], **inputs: Any) -> Any:
+    def execute(self, final_vars: Any, **inputs: Any) -> Any:
         """Values of nodes of the loaded flows; of all of them if a flow is named."""
         if isinstance(final_vars, str):
             try:
@@ -89,14 +91,16 @@ class Registrar:
                 final_vars = [final_vars]
         return self._etl.execute(self._flows, final_vars, registry=self._registry, **inputs) if final_vars else {}
 
-    @property
-    def outputs(self) -> list[str]:
-        return self._etl.outputs(self._flows)
-
     @property
     def registry(self) -> Registry:
+        """The tables themselves."""
         return self._registry
 
+    @property
+    def outputs(self) -> list[str]:
+        """Nodes of the loaded flows."""
+        return self._etl.outputs(self._flows)
+
     def view(self, *args: Any, **kw: Any) -> DataFrame:
         return self._registry.view(*args, **kw)
 
@@ -118,8 +122,8 @@ class Registrar:
     def view_entity(self, *args: Any, **kw: Any) -> str:
         return self._registry.view_entity(*args, **kw)
 
-    def view_entity_df(self, entity_id: str) -> dict[str, pd.DataFrame]:
-        return self._registry.view_entity_df(entity_id)
+    def view_entity_df(self, ref: str) -> Frames:
+        return self._registry.view_entity_df(ref)
 
     def get(self, component_type: str) -> DataFrame:
         return self._registry.get(component_type)

@@ -18,6 +18,10 @@ from loomgrid.operators.validate import rows_of
 from loomgrid.tables import KEYS, col, empty, settle, without_null_types
 
 
+Names = str | list[str]
+Frames = dict[str, pd.DataFrame]
+
+
 def format_value(value: Any) -> str:
     if value is None or value is pd.NA or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
         return "null"
@@ -130,11 +134,11 @@ class Registry:
 
     # Views
 
-    def view(self, component_type: str | list[str], aliases: str | list[str] | None = None) -> DataFrame:
+    def view(self, component_type: Names, aliases: Names | None = None) -> DataFrame:
         """Types or ``type.field`` joined on the entity; columns are named ``type.field``."""
         return self._view(component_type, aliases, current=False)
 
-    def view_current(self, component_type: str | list[str], aliases: str | list[str] | None = None) -> DataFrame:
+    def view_current(self, component_type: Names, aliases: Names | None = None) -> DataFrame:
         """As ``view``, with the latest row of each entity for types with a time dimension."""
         return self._view(component_type, aliases, current=True)
 
@@ -144,7 +148,7 @@ class Registry:
         df = self.get(kind)
         return M.latest(df, self.time_field(kind)) if current else df
 
-    def _view(self, wanted: str | list[str], aliases: str | list[str] | None, current: bool) -> DataFrame:
+    def _view(self, wanted: Names, aliases: Names | None, current: bool) -> DataFrame:
         wanted = [wanted] if isinstance(wanted, str) else list(wanted)
         if "entity_id" not in wanted and "entity_id.alias" not in wanted and "entity_id" in self.tables:
             wanted = ["entity_id.alias", *wanted]
@@ -192,7 +196,7 @@ class Registry:
         found = self._candidates(ref)
         return found[0] if len(found) == 1 else None
 
-    def get_current_value(self, component_type: str, field: str = "value", alias: str | None = None) -> Any:
+    def get_current_value(self, component_type, field="value", alias: Names | None = None) -> Any:
         if component_type not in self.tables and component_type not in self.schemas:
             return None
         df = self.view_current([component_type], alias)
@@ -207,10 +211,10 @@ class Registry:
 
     # Reports
 
-    def view_df(self, component_type: str | list[str], aliases: str | list[str] | None = None) -> pd.DataFrame:
+    def view_df(self, component_type: Names, aliases: Names | None = None) -> pd.DataFrame:
         return self.view(component_type, aliases).toPandas().set_index("entity_id")
 
-    def summarize_components(self, limit: int = 20) -> str:
+    def summarize_components(self, limit=20) -> str:
         """Count and first rows of every type with data, as markdown."""
         if not self.tables:
             return "No component types have any data yet; there is nothing to report."
@@ -223,11 +227,11 @@ class Registry:
             if total > limit:
                 text += f"\n({total - limit} more)"
             out.append(f"### {kind}: {total} rows\n{text}")
-        return "Component types with data:\n\n" + "\n\n".join(out)
+        return "\n\n".join(["Component types with data:", *out])
 
-    def view_entity_df(self, entity_id: str) -> dict[str, pd.DataFrame]:
+    def view_entity_df(self, ref: str) -> Frames:
         """All components of one entity by type; the id is pushed down to each table."""
-        ident = self.get_entity_id(entity_id)
+        ident = self.get_entity_id(ref)
         out = {}
         for kind in self.tables if ident is not None else ():
             try:
@@ -238,10 +242,10 @@ class Registry:
                 out[kind] = df.set_index("entity_id")
         return out
 
-    def view_entity(self, entity_id: str, format: str = "markdown") -> str:
+    def view_entity(self, entity_id, format="markdown") -> str:
         found = self.view_entity_df(entity_id)
         if not found:
-            return f"No data found for entity {entity_id!r}."
+            return f"No data for {entity_id!r}."
         if format != "markdown":
             return "\n\n".join(f"# {kind}\n\n{df.to_csv()}" for kind, df in found.items())
         lines = [f"# {entity_id}"]

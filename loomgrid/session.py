@@ -18,6 +18,7 @@ from loomgrid.tables import col
 
 #: Source of all writes of a session, so that an alias keeps its entity.
 SOURCE = "session"
+SUFFIXES = {".yml", ".yaml"}
 TOOLS = ("view_registry", "view_entity", "consolidate_review", "update_registry")
 GUIDANCE = "See whether anything above should be brought together: one fact under two names, or under the wrong one. Correct it by a write; else nothing is to be done."
 
@@ -30,17 +31,17 @@ def decode_write(token: str) -> str:
     return base64.urlsafe_b64decode(token.encode()).decode()
 
 
-def write_summary(registrar: Registrar, component_type: str, limit: int = 3) -> str:
+def write_summary(registrar: Registrar, kind: str, limit=3) -> str:
     """Rows a type has so far, and a few of them."""
     try:
-        df = registrar.view(component_type)
+        df = registrar.view(kind)
     except KeyError:
-        return f"- {component_type}: declared, no data yet."
+        return f"- {kind} is declared, without data so far."
     n = df.count()
     if not n:
-        return f"- {component_type}: declared, 0 rows so far."
+        return f"- {kind} is declared, with 0 rows so far."
     rows = df.orderBy(*[col(c) for c in df.columns]).limit(limit).collect()
-    return f"- {component_type}: {n} rows so far, such as\n{markdown(df.columns, [tuple(r) for r in rows])}"
+    return f"- {kind}: {n} rows so far, such as\n{markdown(df.columns, [tuple(r) for r in rows])}"
 
 
 def checked_write(registrar: Registrar, text: str) -> set[str]:
@@ -50,10 +51,14 @@ def checked_write(registrar: Registrar, text: str) -> set[str]:
     return registrar.validate_write(text)
 
 
+Text = str | None
+Clock = Callable[[Registrar], Any]
+
+
 class RegistrarSessions:
     """One registrar a session. ``time_provider`` gives the time that a write fills in."""
 
-    def __init__(self, time_provider: Callable[[Registrar], Any] | None = None, export_dirname: str = "registry", export_history_dirname: str = "registry_history", open_tool_name: str = "open_registry", spark: SparkSession | None = None):
+    def __init__(self, time_provider: Clock | None = None, export_dirname="registry", export_history_dirname="registry_history", open_tool_name="open_registry", spark: SparkSession | None = None):
         self._open: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
         self._exports: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
         self._urls: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
@@ -67,22 +72,22 @@ class RegistrarSessions:
             raise ValueError(f"This session has no registry open; call {self._open_tool} first.")
         return self._open[session]
 
-    def set_registrar(self, session: Any, registrar: Registrar, export_dir: str | Path | None = None) -> None:
+    def set_registrar(self, session: Any, registrar: Registrar, export_dir: Any = None) -> None:
         self._open[session] = registrar
         if export_dir:
             self._exports[session] = Path(export_dir)
 
-    def open(self, session: Any, database_url: str, manifest_dir: str | None = None, export_dir: str | None = None) -> str:
+    def open(self, session: Any, database_url: str, manifest_dir: Any = None, export_dir: Any = None) -> str:
         """Open a saved registry, or a new one filled from a folder of manifests. Writes of the
         session are saved there."""
         registrar = Registrar.load(database_url, self._spark)
         self._urls[session] = database_url
         if manifest_dir and not registrar.registry.component_types:
-            files = sorted(f for f in Path(manifest_dir).rglob("*") if f.suffix in (".yaml", ".yml"))
+            files = sorted(f for f in Path(manifest_dir).rglob("*") if f.suffix in SUFFIXES)
             registrar.update(yaml_strings={SOURCE: "\n".join(f.read_text() for f in files)})
             registrar.save(database_url)
         self.set_registrar(session, registrar, export_dir)
-        return f"Opened {database_url}. Component types: {registrar.registry.component_types}."
+        return f"Opened {database_url} with component types {sorted(registrar.registry.component_types)}."
 
     def view_registry(self, session: Any, component_type: str) -> str:
         df = self.get_registrar(session).view(component_type)
@@ -94,13 +99,13 @@ class RegistrarSessions:
     def consolidate_review(self, session: Any, limit: int = 20) -> str:
         return f"{self.get_registrar(session).summarize_components(limit)}\n\n{GUIDANCE}"
 
-    def update_registry(self, session: Any, yaml_string: str | None = None, preview: bool = False, confirm_token: str | None = None) -> str:
+    def update_registry(self, session: Any, yaml_string: Text = None, preview=False, confirm_token: Text = None) -> str:
         """Merge a text; or show what it would touch, with a token that merges it later."""
-        registrar = self.get_registrar(session)
         if confirm_token is not None:
             yaml_string, preview = decode_write(confirm_token), False
         if yaml_string is None:
             raise ValueError("Give yaml_string, or the confirm_token of a preview.")
+        registrar = self.get_registrar(session)
         types = checked_write(registrar, yaml_string)
         if preview:
             return "\n".join([
@@ -116,7 +121,7 @@ class RegistrarSessions:
             self._export(registrar, self._exports[session])
         return "Merged into the registry."
 
-    def dispatch(self, session: Any, name: str, arguments: dict[str, Any]) -> str:
+    def dispatch(self, session: Any, name: str, arguments: dict) -> str:
         """A call by name, of the tools alone."""
         return getattr(self, name)(session, **arguments) if name in TOOLS else f"Error: there is no tool {name!r}"
 

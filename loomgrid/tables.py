@@ -11,7 +11,7 @@ from pyspark.sql.types import BooleanType, DataType, DoubleType, LongType, NullT
 
 #: Declared field types that are coerced; any other stays as loaded.
 ENGINE_TYPES: dict[str, DataType] = {"str": StringType(), "bool": BooleanType(), "int": LongType(), "float": DoubleType(), "rating": DoubleType()}
-SPINE = StructType([StructField(c, StringType()) for c in ("value", "path", "alias", "entity_key", "filepath")])
+SPINE = StructType([StructField(c, StringType()) for c in "value path alias entity_key filepath".split()])
 META = StructType([
     StructField("entity_id", StringType()), StructField("component_index", LongType()), StructField("component_type", StringType()),
     StructField("modifier", StringType()), StructField("derived", BooleanType()), StructField("skip_on_export", BooleanType()),

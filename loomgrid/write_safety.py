@@ -9,6 +9,9 @@ from typing import Any
 import yaml
 
 
+Names = set[str]
+
+
 def _parsed(text: str) -> dict:
     try:
         data = yaml.safe_load(text)
@@ -17,7 +20,7 @@ def _parsed(text: str) -> dict:
     return data if isinstance(data, dict) else {}
 
 
-def referenced_component_types(parsed: dict) -> set[str]:
+def referenced_component_types(parsed) -> Names:
     """Names in all component lists at any depth."""
 
     def names(body: Any) -> Iterator[str]:
@@ -31,18 +34,18 @@ def referenced_component_types(parsed: dict) -> set[str]:
     return set(names(parsed))
 
 
-def component_types_defined_inline(parsed: dict) -> set[str]:
+def component_types_defined_inline(parsed) -> Names:
     """Top-level entities that the same text marks as component types."""
     return {name for name, body in parsed.items() if name != "data" and isinstance(body, list) and "component_type" in [x for x in body if isinstance(x, str)]}
 
 
-def nested_component_names(text: str, known: set[str]) -> list[str]:
+def nested_component_names(text: str, known: Names) -> list[str]:
     """``entity.name`` where a known type stands as a child entity, most likely by mistake."""
     parsed = _parsed(text)
     return [f"{a}.{k}" for a, body in parsed.items() if a != "data" and isinstance(body, dict) for k, v in body.items() if k != "data" and k in known and isinstance(v, list)]
 
 
-def unknown_component_types(text: str, known: set[str]) -> dict[str, list[str]]:
+def unknown_component_types(text: str, known: Names) -> dict[str, list]:
     """Names that are neither known nor defined in the text, with up to three close matches."""
     parsed = _parsed(text)
     new = referenced_component_types(parsed).difference(known, component_types_defined_inline(parsed))

@@ -33,7 +33,7 @@ def test_coercions(spark):
 
 
 def spec(kind=None, nullable=True, default=None, range=None):
-    return {"type": kind, "nullable": nullable, "default": default, "range": range}
+    return dict(type=kind, range=range, default=default, nullable=nullable)
 
 
 def test_validation_keeps_rows_and_reports(spark):
@@ -64,7 +64,7 @@ PARENT = "entity_id string, component_index bigint, modifier string, parent_eid
 
 def inherit_both(spark, fields, parents):
     f = [dict(zip(("entity_id", "component_index", "value", "description"), x)) for x in fields]
-    p = [dict(zip(("entity_id", "component_index", "modifier", "parent_eid", "is_primary"), x)) for x in parents]
+    p = [dict(zip((f.split()[0] for f in PARENT.split(", ")), x)) for x in parents]
     driver = {(r["entity_id"], r["component_index"], r["value"], r["description"]) for r in D.inherited_fields(f, p)}
     joins = {tuple(r) for r in D.inherit_by_joins(spark.createDataFrame(fields, FIELD), spark.createDataFrame(parents, PARENT)).collect()}
     return driver, joins
