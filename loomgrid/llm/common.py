@@ -53,7 +53,7 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*parts)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one slice hold about ``most_bytes`` (one row at least)."""
     for b in batches:
         if b.num_rows == 0:
