@@ -47,6 +47,13 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int, row_b
     return left.join(right, on, how)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with ``_`` added until no column of ``df`` has it."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name += "_"
+    return name
+
+
 def row_key(*cols: str) -> Column:
     """64-bit identity of a row by the named columns; a null differs from an empty text."""
     parts = [x for c in cols for x in (F.col(c), F.col(c).isNull())]

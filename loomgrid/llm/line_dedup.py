@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from loomgrid.llm.common import materialize, row_key, sized_join, slices
+from loomgrid.llm.common import free_name, materialize, row_key, sized_join, slices
 from loomgrid.llm.textkernel import U, mix, span_hashes, text_bytes
 
 WINDOW = 2
@@ -133,15 +133,16 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column is what a text loses; the lines lost take its place."""
     for b in slices(batches, "text"):
         names = b.schema.names
-        t, g = names.index("text"), names.index("__gone")
+        t, g = names.index("text"), len(names) - 1
         gone = b.column(g)
         lost = np.zeros(b.num_rows, np.int64)
         rows = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
         text = b.column(t)
         if len(rows):
-            new = dict.fromkeys(range(0))
+            new = {}
             c = chunk(text.take(pa.array(rows)))
             for k, r in enumerate(rows.tolist()):
                 out = set(gone[r].as_py())
@@ -152,17 +153,14 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.arange(b.num_rows)
             place[rows] = b.num_rows + np.arange(len(rows))
             text = pa.concat_arrays([text, values]).take(pa.array(place))
-        cols = [text if i == t else b.column(i) for i in range(len(names)) if i != g]
-        yield pa.record_batch([*cols, pa.array(lost)], names=[*(x for x in names if x != "__gone"), "__lost"])
+        cols = [text if i == t else b.column(i) for i in range(g)]
+        yield pa.record_batch([*cols, pa.array(lost)], names=names)
 
 
 def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
     """All rows, their texts without repeated chunks, and ``removed``, the lines they lost."""
-    gone = materialize(repeated_chunks(docs).groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("at").alias("__gone")), "gone")
-    keyed = docs.withColumn("__rid", row_key("doc_id", "text"))
-    rows = sized_join(keyed, gone, "__rid", "left", gone.count(), 120).select(*[F.col(f"`{c}`") for c in docs.columns], "__gone")
-    out = rows.mapInArrow(_rewrite, StructType([*docs.schema.fields, StructField("__lost", LongType())]))
-    name = "removed"
-    while name in [c.lower() for c in docs.columns]:
-        name += "_"
-    return out.withColumnRenamed("__lost", name)
+    rid, name = free_name(docs, "__rid"), free_name(docs, "removed")
+    gone = materialize(repeated_chunks(docs).groupBy(F.col("rid").alias(rid)).agg(F.collect_set("at").alias(name)), "gone")
+    keyed = docs.withColumn(rid, row_key("doc_id", "text"))
+    rows = sized_join(keyed, gone, rid, "left", gone.count(), 120).select(*[F.col(f"`{c}`") for c in docs.columns], name)
+    return rows.mapInArrow(_rewrite, StructType([*docs.schema.fields, StructField(name, LongType())]))

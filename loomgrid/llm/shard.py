@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from loomgrid.llm.common import free_name
+
 BUCKET_BYTES = 24 << 20
 SEED = 20240
 
@@ -59,11 +61,11 @@ def buckets_for(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     return max(1, math.ceil(total / bucket_bytes))
 
 
-def _shuffle(seed: int, names: list[str]):
+def _shuffle(seed: int, names: list[str], bucket: str, keys: list[str]):
     def finish(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts).combine_chunks()
-        order = pc.sort_indices(t, sort_keys=[("__key", "ascending"), ("__key2", "ascending")])
-        shard = t.column("__bucket")[0].as_py()
+        order = pc.sort_indices(t, sort_keys=[(k, "ascending") for k in keys])
+        shard = t.column(bucket)[0].as_py()
         perm = fisher_yates(t.num_rows, seed * 1_000_003 + shard)
         pos = pa.array(np.arange(t.num_rows, dtype=np.int64))
         place = order.to_numpy()[perm]
@@ -77,10 +79,10 @@ def _shuffle(seed: int, names: list[str]):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = b.column(b.schema.get_field_index("__bucket")).to_numpy()
+            ids = b.column(b.schema.get_field_index(bucket)).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if held and held[0].column("__bucket")[0].as_py() != ids[lo]:
+                if held and held[0].column(bucket)[0].as_py() != ids[lo]:
                     yield from finish(held)
                     held = []
                 held.append(b.slice(lo, hi - lo))
@@ -96,13 +98,14 @@ def shard(docs: DataFrame, buckets: int | None = None, seed: int = SEED, bucket_
     names = _names(docs.columns)
     renamed = docs.toDF(*names)
     cols = [x for c in names for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    bucket, *keys = (free_name(renamed, x) for x in ("__bucket", "__key", "__key2"))
     keyed = renamed.select(
         *[F.col(f"`{c}`") for c in names],
-        F.xxhash64(F.lit(seed), *cols).alias("__key"),
-        F.xxhash64(F.lit(seed + 1), *cols).alias("__key2"),
-    ).withColumn("__bucket", F.pmod("__key", F.lit(n)).cast("int"))
+        F.xxhash64(F.lit(seed), *cols).alias(keys[0]),
+        F.xxhash64(F.lit(seed + 1), *cols).alias(keys[1]),
+    ).withColumn(bucket, F.pmod(keys[0], F.lit(n)).cast("int"))
     schema = StructType([*renamed.schema.fields, StructField("shard", LongType()), StructField("position", LongType())])
-    return keyed.repartitionById(n, "__bucket").mapInArrow(_shuffle(seed, names), schema)
+    return keyed.repartitionById(n, bucket).mapInArrow(_shuffle(seed, names, bucket, keys), schema)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:

@@ -18,8 +18,8 @@ a shuffle.
 Cases: null and empty texts and those of fewer than ``MIN_WORDS`` words hold no repeats.
 Rows equal in id and text are one document, which doesn't repeat itself. A passage that
 repeats in one document counts. The first occurrence is that of the least row hash, then
-the least position. Other columns stay; a clash with ``repeats`` or ``dropped`` renames the
-new column with ``_``. An empty table gives no rows.
+the least position. Other columns stay as they are, whatever their names; the report has
+columns of its own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from loomgrid.llm.common import materialize, row_key, sized_join, slices
+from loomgrid.llm.common import free_name, materialize, row_key, sized_join, slices
 from loomgrid.llm.textkernel import U, Words, mix, words
 
 MIN_WORDS = 50
@@ -271,9 +271,10 @@ def report_repeats(docs: DataFrame, **options) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column is what a text loses; it goes."""
     for b in slices(batches, "text"):
         names = b.schema.names
-        t, g = names.index("text"), names.index("__dropped")
+        t, g = names.index("text"), len(names) - 1
         text, spans = b.column(t), b.column(g)
         rows = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
         if len(rows):
@@ -282,7 +283,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.arange(b.num_rows)
             place[rows] = b.num_rows + np.arange(len(rows))
             text = pa.concat_arrays([text, pa.array(new, pa.string())]).take(pa.array(place))
-        yield pa.record_batch([text if i == t else b.column(i) for i in range(len(names)) if i != g], names=[x for x in names if x != "__dropped"])
+        yield pa.record_batch([text if i == t else b.column(i) for i in range(g)], names=names[:g])
 
 
 def _without(text: str, spans: list[dict]) -> str:
@@ -303,8 +304,9 @@ def _without(text: str, spans: list[dict]) -> str:
 
 def drop_repeats(docs: DataFrame, **options) -> DataFrame:
     """All rows, their texts without the spans that repeat an earlier passage."""
-    found = repeats(docs, **options).where("size(dropped) > 0").select(F.col("rid").alias("__rid"), F.col("dropped").alias("__dropped"))
+    rid, cut = free_name(docs, "__rid"), free_name(docs, "__cut")
+    found = repeats(docs, **options).where("size(dropped) > 0").select(F.col("rid").alias(rid), F.col("dropped").alias(cut))
     found = materialize(found, "repeats")
-    keyed = docs.withColumn("__rid", row_key("doc_id", "text"))
-    rows = sized_join(keyed, found, "__rid", "left", found.count(), 80).select(*[F.col(f"`{c}`") for c in docs.columns], "__dropped")
+    keyed = docs.withColumn(rid, row_key("doc_id", "text"))
+    rows = sized_join(keyed, found, rid, "left", found.count(), 80).select(*[F.col(f"`{c}`") for c in docs.columns], cut)
     return rows.mapInArrow(_cut, StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in docs.schema.fields]))

@@ -48,7 +48,7 @@ def make():
 def test_same_as_brute_force(spark):
     docs = make()
     want = brute(docs)
-    out = L.drop_repeated_chunks(frame(spark, docs).selectExpr("*", "1 as removed")).collect()
+    out = L.drop_repeated_chunks(frame(spark, docs).selectExpr("*", "1 as removed", "2 as __rid")).collect()
     assert len(out) == len(docs)
     by_id = {d[0]: d[1] for d in docs}
     for r in out:

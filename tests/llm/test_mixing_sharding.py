@@ -107,8 +107,8 @@ def test_all_rows_once_whatever_the_partitions(spark):
 
 
 def test_shard_columns_and_empty_tables(spark):
-    out = S.shard(frame(spark, corpus(5)).selectExpr("*", "1 as shard", "2 as orig_shard", "3 as Position"))
-    assert len(set(c.lower() for c in out.columns)) == len(out.columns) == 10 and {r.shard for r in out.collect()} == {0}
+    out = S.shard(frame(spark, corpus(5)).selectExpr("*", "1 as shard", "2 as orig_shard", "3 as Position", "4 as __key"))
+    assert len(set(c.lower() for c in out.columns)) == len(out.columns) == 11 and {r.shard for r in out.collect()} == {0}
     assert S.shard(frame(spark, [])).count() == 0
 
 

@@ -51,7 +51,7 @@ def test_same_as_brute_force(spark, docs):
 
 
 def test_one_copy_stays(spark, docs):
-    df = frame(spark, docs).selectExpr("*", "'x' as repeats")
+    df = frame(spark, docs).selectExpr("*", "'x' as __rid", "1 as __cut")
     out = S.drop_repeats(df)
     assert out.columns == df.columns and out.count() == len(docs)
     kept = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in out.collect()]
