@@ -74,8 +74,10 @@ def arithmetic(text: Column) -> Column:
 
 
 def maybe_arithmetic(text: Column) -> Column:
-    """Whether a text is no number but may be an expression of numbers."""
-    return text.isNotNull() & try_double(text).isNull() & text.rlike(r"[0-9]|True|False") & text.rlike(r"^[-+*/().0-9_\sA-Za-z]+$")
+    """Whether a text is no number but may be an expression of numbers. The first test fails
+    for nearly all plain numbers, which spares them the rest."""
+    sign = r"[0-9.)]\s*[-+*/]|[(]|True|False|^\s*[-+]|0[xXoObB]"
+    return text.rlike(sign) & text.rlike(r"^[-+*/().0-9_\sA-Za-z]+$") & try_double(text).isNull()
 
 
 def strip(text: Column) -> Column:
