@@ -29,7 +29,10 @@ from loomgrid.llm.common import BROADCAST_BYTES, materialize, row_key
 
 EPOCHS = 4
 SEED = 31
-RANGES = 4096
+#: Hash ranges of a pattern, by the first 13 bits of the signed hash.
+RANGES = 8192
+#: A cut behind every hash.
+END = 1 << 63
 #: Patterns beyond this many bytes on the driver are refused rather than solved slowly.
 MOST_PATTERNS = 100_000
 
@@ -185,11 +188,13 @@ def plan(docs: DataFrame, weights: dict[str, float] | None, budget: float, pools
         ends = {(r[0], r[1]): r[2] for r in hit.select("pattern", "b", "r").collect()}
         for key in inner:
             # no document starts at or after the mark inside its range: cut at the end of the range
-            cut[key] = found.get(key, ((ends[key] + 1 - RANGES // 2) << 51) if ends[key] + 1 < RANGES else None)
+            cut[key] = found.get(key, (ends[key] + 1 - RANGES // 2) << 51)
     out = []
     for x in todo:
         full = capacity[tuple(x.pattern.split("\x1f"))]
-        out.append((x.pattern, x.pool, x.copy, cut[x.pattern, x.low] if x.low > 0 else None, cut[x.pattern, x.high] if x.high < full else None))
+        low, high = cut[x.pattern, x.low] if x.low > 0 else None, cut[x.pattern, x.high] if x.high < full else None
+        if low != END:  # else no document starts in the piece
+            out.append((x.pattern, x.pool, x.copy, low, None if high == END else high))
     return out
 
 

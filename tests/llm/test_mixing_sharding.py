@@ -70,6 +70,27 @@ def test_weights_are_met(spark):
     assert max(by_copy.values()) == 1  # one reading of a document goes to one pool
 
 
+@pytest.mark.parametrize("top", [False, True])
+def test_cuts_are_those_of_a_sort_of_each_pattern(spark, monkeypatch, top):
+    if top:  # all documents in the last hash range, where a cut can lie behind all of them
+        monkeypatch.setattr(M, "order_hash", lambda seed: F.lit(2**63 - 1) - F.col("doc_id"))
+    rng = random.Random(29)
+    df = frame(spark, [(i, prose(rng, rng.randrange(5, 60)), rng.choice(["en", "fr"]), f"s{rng.randrange(30)}", 1) for i in range(80 if top else 400)])
+    by = {}
+    for r in df.select("doc_id", "text", "lang", "source", M.order_hash(M.SEED).alias("h")).collect():
+        by.setdefault((f"lang:{r.lang}", f"source:{r.source}"), []).append((r.h, r.doc_id, len(r.text.split())))
+    capacity = {p: sum(n for _, _, n in rows) for p, rows in by.items()}
+    flow = M.route(capacity, M.quotas({k: 1.0 for p in capacity for k in p}, int(0.8 * sum(capacity.values()))))
+    want = []
+    for x in M.pieces(flow, capacity):
+        at = 0
+        for _, doc, n in sorted(by[tuple(x.pattern.split("\x1f"))]):
+            if x.low <= at < x.high:
+                want.append((doc, x.pool, x.copy))
+            at += n
+    assert sorted((r.doc_id, r.pool, r.copy) for r in M.mix(df).collect()) == sorted(want)
+
+
 def test_seed_and_partitions(spark):
     data = corpus()
     run = lambda parts, seed: sorted((r.doc_id, r.pool, r.copy) for r in M.mix(frame(spark, data, parts), seed=seed).collect())
