@@ -2,7 +2,8 @@
 
 The text is the first layer. A layer is scanned for secrets, then for encoded parts: URL
 escapes, Unicode escapes and character references, base64, and compressed bytes (gzip,
-zlib, bzip2, xz, zstandard) found in base64. What a part decodes to is a new layer, and
+zlib, bzip2, xz, zstandard) found in base64. Base64 may span lines, which are read together
+and one by one, and start at any of four characters, as letters before it look like it. What a part decodes to is a new layer, and
 the worklist goes on until no layer gives a new one. A layer that was seen before (a cycle,
 or a part that occurs twice at one place) isn't scanned again. Every layer keeps, for each
 of its characters, the range of the first text that it came from, so a finding at any depth
@@ -14,24 +15,23 @@ be a secret or an encoded part are passed over by a linear-time regular expressi
 texts are scanned, without a bound on depth. Compressed parts are unpacked up to
 ``MOST_BYTES``; one that would be larger is reported as kind ``oversized_layer``.
 
-Cases: null and empty texts have no findings. Rows that repeat are reported each. Bytes
-that aren't UTF-8 after decoding, or hold control characters, are no layer. A secret that
-two rules match is reported by the first rule. A clash of column names can't occur: the
+Cases: null and empty texts have no findings. Rows that repeat are reported each. Escapes
+of bytes that aren't UTF-8, and of control characters, stay as they are. Decoded base64 and
+unpacked bytes are read in the longest pieces that are UTF-8 without control characters, from
+``SHORTEST`` bytes. All members of compressed bytes are unpacked. A secret that two rules match is reported by the first rule. A clash of column names can't occur: the
 result has its own columns. The secret itself is not in the result, only its digest.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -58,16 +58,25 @@ RULES = [
 _RULES = [(k, re.compile(r, re.ASCII)) for k, r in RULES]
 #: a text without a match holds neither a secret nor an encoded part
 MAYBE = (
-    r"[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[0-9xX]|-----BEGIN|://[^\s/:@]+:"
+    r"(?:[A-Za-z0-9+/_-](?:[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*)?){12}|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[0-9xX]|-----BEGIN|://[^\s/:@]+:"
     r"|(?i:api[_-]?key|secret|token|passw|pwd|credential)s?[\"']?\s{0,4}(?:=>|[=:])"
 )
 _RUN = re.compile(r"[^\s\"'<>]+")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _WORD = re.compile(r"\S+")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: bytes of the shortest secret, ://a:bcd@; base64 of it has twelve characters
+SHORTEST = 9
+_BREAK = re.compile(r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*")
+_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]+(?:{_BREAK.pattern}[A-Za-z0-9+/_-]+)*={{0,2}}")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0e-\x1f\x7f]")
 _MAGIC = [(b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"), (b"\x28\xb5\x2f\xfd", "zstd"), (b"\x78\x01", "zlib"), (b"\x78\x5e", "zlib"), (b"\x78\x9c", "zlib"), (b"\x78\xda", "zlib")]
+_MAGICS = re.compile(b"|".join(re.escape(m) for m, _ in _MAGIC))
+#: UTF-8 without control characters
+_PIECE = re.compile(
+    rb"(?:[\t\n\x0c\r -~]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+"
+)
 
 
 class Oversized(Exception):
@@ -96,37 +105,33 @@ class Finding:
     value: str
 
 
-def unpack(data: bytes, most: int = MOST_BYTES) -> tuple[str, bytes] | None:
-    """Name and content of compressed bytes; None if they are not. Oversized beyond ``most``."""
-    name = next((n for m, n in _MAGIC if data.startswith(m)), None)
-    if name is None:
-        return None
-    try:
-        if name in ("gzip", "zlib"):
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, most + 1)
-        elif name == "bzip2":
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(data, most + 1)
-        elif name == "xz":
-            d = lzma.LZMADecompressor()
-            out = d.decompress(data, most + 1)
-        else:
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(most + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, zstandard.ZstdError):
-        return None
-    if len(out) > most:
-        raise Oversized(name)
-    return name, out
-
-
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
+def unpack(data: bytes, at: int = 0, most: int = MOST_BYTES) -> tuple[str, bytes, int, bool] | None:
+    """Name, content of all members, end, and whether that end is known, of the compressed bytes
+    that start at ``at``; None if they are not. Oversized beyond ``most``."""
+    magic, name = next(((m, n) for m, n in _MAGIC if data.startswith(m, at)), (b"", ""))
+    if not name:
         return None
-    return text if text and not _CONTROL.search(text) else None
+    make = {"bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor, "zstd": lambda: zstandard.ZstdDecompressor().decompressobj()}.get(name, lambda: zlib.decompressobj(47))
+    view, out, end, whole = memoryview(data), bytearray(), None, False
+    while True:
+        d, had = make(), len(out)
+        try:
+            while at < len(data) and not d.eof:
+                chunk = view[at : at + 1024]
+                out += d.decompress(chunk) if name == "zstd" else d.decompress(chunk, most + 1 - len(out))
+                at += len(chunk)
+                if len(out) > most:
+                    raise Oversized(name)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, zstandard.ZstdError):
+            del out[had:]
+            break
+        at -= len(d.unused_data)
+        end, whole = at, d.eof
+        while data.startswith(b"\0", at):
+            at += 1
+        if not whole or not data.startswith(magic, at):
+            break
+    return None if end is None else (name, bytes(out), end, whole)
 
 
 def _url(layer: Layer) -> Iterator[tuple[str, str, list[int], list[int]]]:
@@ -134,11 +139,8 @@ def _url(layer: Layer) -> Iterator[tuple[str, str, list[int], list[int]]]:
         part, base = m.group(), m.start()
         if not _PERCENT.search(part):
             continue
-        text = _readable(unquote_to_bytes(part))
-        if text is None:
-            continue
-        # the byte of the part that each decoded byte came from, then by character
-        raw, at, size = [], [], []
+        # the place in the part that each decoded byte came from, then by character
+        raw, at, size = bytearray(), [], []
         i = 0
         while i < len(part):
             if part[i] == "%" and _PERCENT.match(part, i):
@@ -152,9 +154,28 @@ def _url(layer: Layer) -> Iterator[tuple[str, str, list[int], list[int]]]:
                 at += [i] * len(b)
                 size += [1] * len(b)
                 i += 1
-        heads = [k for k, b in enumerate(raw) if b & 0xC0 != 0x80]
-        tails = [*(k - 1 for k in heads[1:]), len(raw) - 1]
-        yield "url", text, [base + at[k] for k in heads], [base + at[k] + size[k] for k in tails]
+        out: list[str] = []
+        start: list[int] = []
+        end: list[int] = []
+
+        def keep(lo: int, hi: int) -> None:
+            out.append(part[lo:hi])
+            start.extend(range(lo, hi))
+            end.extend(range(lo + 1, hi + 1))
+
+        last, new = 0, False
+        for piece in _PIECE.finditer(raw):
+            a, b = piece.span()
+            keep(last, at[a])
+            out.append(piece.group().decode())
+            heads = [k for k in range(a, b) if raw[k] & 0xC0 != 0x80]
+            start += [at[k] for k in heads]
+            end += [at[k - 1] + size[k - 1] for k in [*heads[1:], b]]
+            last = end[-1]
+            new = new or 3 in size[a:b]
+        keep(last, len(part))
+        if new:
+            yield "url", "".join(out), [base + x for x in start], [base + x for x in end]
 
 
 def _unicode(layer: Layer) -> Iterator[tuple[str, str, list[int], list[int]]]:
@@ -165,67 +186,104 @@ def _unicode(layer: Layer) -> Iterator[tuple[str, str, list[int], list[int]]]:
         at: list[int] = []
         end: list[int] = []
         last, part, base = 0, run.group(), run.start()
-        for m in _ESCAPE.finditer(part):
-            code = int(m.group(5)) if m.group(5) else int(next(g for g in m.groups() if g), 16)
-            if code > 0x10FFFF:
+        codes = [(m.start(), m.end(), int(m.group(5)) if m.group(5) else int(next(g for g in m.groups() if g), 16)) for m in _ESCAPE.finditer(part)]
+        for (a, b, code), (c, d, low) in zip(codes, [*codes[1:], (-1, -1, 0)]):
+            if a < last:
+                continue  # the second half of a pair
+            if 0xD800 <= code < 0xDC00 and c == b and 0xDC00 <= low < 0xE000:
+                code, b = 0x10000 + ((code - 0xD800) << 10) + low - 0xDC00, d
+            if code > 0x10FFFF or 0xD800 <= code < 0xE000 or _CONTROL.match(chr(code)):
                 continue
-            for i in range(last, m.start()):
+            for i in range(last, a):
                 out.append(part[i])
                 at.append(i)
                 end.append(i + 1)
-            if 0xDC00 <= code < 0xE000 and out and 0xD800 <= ord(out[-1]) < 0xDC00 and end[-1] == m.start():
-                out[-1] = chr(0x10000 + ((ord(out[-1]) - 0xD800) << 10) + code - 0xDC00)
-                end[-1] = m.end()
-            else:
-                out.append(chr(code))
-                at.append(m.start())
-                end.append(m.end())
-            last = m.end()
+            out.append(chr(code))
+            at.append(a)
+            end.append(b)
+            last = b
         if not last:
             continue
         for i in range(last, len(part)):
             out.append(part[i])
             at.append(i)
             end.append(i + 1)
-        text = "".join(out)
-        if any(0xD800 <= ord(c) < 0xE000 for c in text) or _CONTROL.search(text):
-            continue
-        yield "unicode", text, [base + x for x in at], [base + x for x in end]
+        yield "unicode", "".join(out), [base + x for x in at], [base + x for x in end]
 
 
 def _base64(layer: Layer, most: int) -> Iterator[tuple[str, str, list[int] | np.ndarray, list[int] | np.ndarray]]:
     for m in _BASE64.finditer(layer.text):
-        body = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        a, b = m.span()
-        text = _readable(data)
-        if text is not None:
-            size = np.fromiter((len(c.encode()) for c in text), np.int64, len(text)) if not text.isascii() else np.ones(len(text), np.int64)
-            head = np.cumsum(size) - size
-            yield "base64", text, a + head // 3 * 4, np.minimum(b, a + (head + size - 1) // 3 * 4 + 4)
-            continue
-        try:
-            packed = unpack(data, most)
-        except Oversized as e:
-            yield f"base64>{e}", "", [a], [b]
+        if m.end() - m.start() < 12:
             continue
-        names = ["base64"]
-        while packed is not None:
-            names.append(packed[0])
-            text = _readable(packed[1])
-            if text is not None:
-                yield ">".join(names), text, np.full(len(text), a), np.full(len(text), b)
-                break
+        lines, at = [], m.start()
+        for x in _BREAK.finditer(layer.text, *m.span()):
+            lines.append((at, x.start()))
+            at = x.end()
+        lines.append((at, m.end()))
+        packed: list[tuple[int, int]] = []
+        for part in [lines, *([x] for x in lines)] if len(lines) > 1 else [lines]:
+            if sum(b - a for a, b in part) < 12 or any(a <= part[0][0] and part[-1][1] <= b for a, b in packed):
+                continue
+            body = "".join(layer.text[a:b] for a, b in part).rstrip("=").replace("-", "+").replace("_", "/")
+            place = np.concatenate([np.arange(a, b) for a, b in part])[: len(body)]
+            for first in range(4):
+                packed += yield from _decoded(body, place, part[-1][1], first, most)
+
+
+def _decoded(body: str, place: np.ndarray, last: int, first: int, most: int) -> Generator[tuple[str, str, np.ndarray, np.ndarray], None, list[tuple[int, int]]]:
+    """Layers of base64 from its ``first`` character on; ``place`` has that of each character.
+    Returns the spans of compressed parts."""
+    text = body[first:]
+    if len(text) % 4 == 1:
+        text = text[:-1]
+    data = base64.b64decode(text + "=" * (-len(text) % 4))
+
+    def spans(head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the characters that hold the bytes from head to tail, the last one."""
+        i = first + tail // 3 * 4 + 3
+        return place[first + head // 3 * 4], np.where(i < len(place), place[np.minimum(i, len(place) - 1)] + 1, last)
+
+    packed, free, at = [], [], 0
+    while x := _MAGICS.search(data, at):
+        a = x.start()
+        at, inner, to, names = a + 1, data, len(data), ["base64"]
+        while True:
             try:
-                packed = unpack(packed[1], most) if packed[1] != data and len(names) < 1000 else None
+                found = unpack(inner, a if inner is data else 0, most)
             except Oversized as e:
-                yield ">".join([*names, str(e)]), "", [a], [b]
+                span = spans(np.array([a]), np.array([to - 1]))
+                yield ">".join([*names, str(e)]), "", *span
+                if inner is data:
+                    packed.append((a, to))
+                    at = to
                 break
+            if found is None:
+                break
+            name, out, end, whole = found
+            if inner is data:
+                to = end
+                if whole:
+                    packed.append((a, to))
+                    at = to
+            names.append(name)
+            span = spans(np.array([a]), np.array([to - 1]))
+            for y in _PIECE.finditer(out):
+                if y.end() - y.start() >= SHORTEST:
+                    child = y.group().decode()
+                    yield ">".join(names), child, np.repeat(span[0], len(child)), np.repeat(span[1], len(child))
+            if out == inner or len(names) >= 1000:
+                break
+            inner = out
+    at = 0
+    for a, b in packed:
+        free.append((at, a))
+        at = b
+    for a, b in [*free, (at, len(data))]:
+        for x in _PIECE.finditer(data, a, b):
+            if x.end() - x.start() >= SHORTEST:
+                head = np.flatnonzero(np.frombuffer(x.group(), np.uint8) & 0xC0 != 0x80) + x.start()
+                yield "base64", x.group().decode(), *spans(head, np.append(head[1:], x.end()) - 1)
+    return [(int(s[0]), int(e[0])) for s, e in (spans(np.array([a]), np.array([b - 1])) for a, b in packed)]
 
 
 def scan(text: str | None, most: int = MOST_BYTES) -> list[Finding]:
@@ -259,7 +317,22 @@ def scan(text: str | None, most: int = MOST_BYTES) -> list[Finding]:
                 if key not in seen:
                     seen.add(key)
                     work.append(Layer(child, at, end, (*layer.path, *name.split(">"))))
-    return sorted(found.values(), key=lambda f: (f.start, f.end, f.kind, len(f.path), f.value))
+    return _largest(sorted(found.values(), key=lambda f: (f.start, f.end, f.kind, len(f.path), f.value)))
+
+
+def _largest(found: list[Finding]) -> list[Finding]:
+    """Without findings that are a part of another: of a secret that crosses a line of base64,
+    or of compressed bytes that start in others."""
+    out: list[Finding] = []
+    held: dict[tuple[str, tuple[str, ...]], Finding] = {}
+    for f in sorted(found, key=lambda f: (f.start, -f.end, -len(f.value))):
+        wide = held.get((f.kind, f.path))
+        if f.path and wide and wide.end >= f.end and f.value in wide.value and (wide.start, wide.end) != (f.start, f.end):
+            continue
+        if not wide or f.end > wide.end:
+            held[f.kind, f.path] = f
+        out.append(f)
+    return sorted(out, key=lambda f: (f.start, f.end, f.kind, len(f.path), f.value))
 
 
 def _scanner(most: int):

@@ -61,6 +61,46 @@ def test_spans_are_exact_through_escapes():
     assert (f.start, f.end) == (2, 14 + 18)
 
 
+@pytest.mark.parametrize("width", [8, 64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  ", "\\n"])
+def test_base64_over_lines(width, end):
+    wrap = lambda x: end.join(b64(x)[i : i + width] for i in range(0, len(b64(x)), width))
+    for pad in range(0, 60, 7):
+        noise = "".join(f"{i * 7919 % 1000:03d} " for i in range(pad))
+        for part in (wrap(f"{noise}{KEY} ends here"), wrap(gzip.compress(f"{noise}{KEY} ends".encode())), wrap(lzma.compress(f"{noise}{KEY} ends".encode()))):
+            found = [f for f in S.scan(f"-----BEGIN DATA-----\n{part}\n-----END DATA-----") if f.value == KEY]
+            assert len(found) == 1 and 21 <= found[0].start < found[0].end <= 21 + len(part)
+
+
+def test_an_invalid_escape_hides_no_other():
+    hidden = WRAPS["url"](KEY)
+    for bad in ("%E9", "%00", "%C3", "%FF%FE"):
+        (f,) = S.scan(f"q=caf{bad}&k={hidden}&z={bad}")
+        assert f.value == KEY and (f.start, f.end) == (5 + len(bad) + 3, 5 + len(bad) + 3 + len(hidden))
+    for bad in ("\\u0000", "\\ud800", "&#1;"):
+        text = '{"a":"' + bad + '","k":"' + WRAPS["unicode"](KEY) + '"}'
+        (f,) = S.scan(text)
+        assert f.value == KEY and text[f.start : f.end] == WRAPS["unicode"](KEY)
+    assert [f.value for f in S.scan(b64(b"\xff\x00" + f"id {KEY} x".encode() + b"\x00"))] == [KEY]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_all_members_are_unpacked(pack):
+    found = S.scan("see " + b64(pack(b"first member ") + pack(f"id {KEY[:9]}".encode()) + pack(f"{KEY[9:]} x".encode())))
+    assert [f.value for f in found] == [KEY]
+
+
+@pytest.mark.parametrize("before", ["", "a", "ab", "abc"])
+def test_base64_starts_at_any_character(before):
+    assert [f.value for f in S.scan(f"{before}{b64('  id ' + KEY + ' x')}")] == [KEY]
+    assert [f.value for f in S.scan(before + WRAPS["gzip"](f"id {KEY} x"))] == [KEY]
+
+
+def test_prefilter_lets_short_secrets_pass(spark):
+    texts = ["xoxb-abcdefghij", b64("://a:bcd@"), "\n".join(b64(KEY + " ")[i : i + 8] for i in range(0, 28, 8))]
+    assert {r.doc_id for r in S.find_secrets(frame(spark, rows(texts))).collect()} == {0, 1, 2}
+
+
 def test_rules_and_their_order():
     kinds = lambda t: [f.kind for f in S.scan(t)]
     assert kinds('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"') == ["assignment"]
