@@ -7,14 +7,16 @@ every item within ``RADIUS`` bits (if no block agreed, the distance would be lar
 Candidates are verified by the exact weighted Jaccard of their 3-word shingles, a
 shingle weighing the bytes of its words; at ``threshold`` or above it is a match.
 Windows that share no shingle with any item of their size have similarity 0 and are
-not fingerprinted, which loses nothing. A document shorter than the item is one window.
+not fingerprinted, which loses nothing. A document shorter than the item is one window. An
+item of fewer than three words is one shingle itself, so its windows match if they are equal.
 
 The items travel to the executors in slices of at most ``ITEM_BYTES`` of text, each
 slice one more pass over the documents; documents never move.
 
-Cases: null and empty texts hold no window. Items null, or of fewer than three words,
-match nothing. Repeated rows of either table give one row. Of windows that tie, the
-first is reported. Null ids are kept as null. Other columns are ignored.
+Cases: null and empty texts hold no window. Items null or without words match nothing.
+Repeated rows of either table give one row. Of windows that tie, the first is reported.
+Null ids are kept as null; ids are of type long. Other columns are ignored. Texts of any
+length are compared in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ K = 3
 RADIUS = 15
 THRESHOLD = 0.5
 ITEM_BYTES = 8 << 20
+#: windows, words and shingles that are compared at a time
+AT_ONCE, WORDS_AT_ONCE, SHINGLES_AT_ONCE = 50_000, 1 << 16, 1 << 19
 MATCH = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 
 
@@ -82,6 +86,13 @@ class Index:
         self.fp = _pack(cum[w.bounds[1:]] - cum[w.bounds[:-1]])
         edge = np.linspace(0, 64, radius + 2).round().astype(int)
         self.blocks = [(U(a), U((1 << (b - a)) - 1)) for a, b in zip(edge[:-1], edge[1:])]
+        self.short = {}
+        for s in range(1, K):
+            h, at = shingles(w, s)
+            mine = n[w.doc[at]] == s
+            o = np.argsort(h[mine], kind="stable")
+            if len(o):
+                self.short[s] = h[mine][o], w.doc[at][mine][o]
         self.by_size = {}
         for s in np.unique(n[n >= K]):
             mine = np.flatnonzero(n == s)
@@ -107,10 +118,27 @@ class Index:
 
     def matches(self, texts: pa.Array, threshold: float) -> dict[str, np.ndarray]:
         """Best window of each (document, item) whose similarity reaches the threshold."""
+        w = words(texts)
+        parts = [self._short(w), self._long(w, threshold)]
+        return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+    def _short(self, w: Words) -> dict[str, np.ndarray]:
+        """First places of the items that are shorter than a shingle."""
+        found = [np.zeros((0, 4), np.int64)]
+        for s, (key, item) in self.short.items():
+            h, at = shingles(w, s)
+            lo, hi = np.searchsorted(key, h, "left"), np.searchsorted(key, h, "right")
+            e, which = _expand(lo, hi - lo)
+            found.append(np.stack([w.doc[at[which]], item[e], at[which] - w.bounds[w.doc[at[which]]], np.full(len(e), s)], 1))
+        x = np.concatenate(found)
+        x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
+        x = x[np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1)])] if len(x) else x
+        return {"doc": x[:, 0], "item": x[:, 1], "similarity": np.ones(len(x)), "start": x[:, 2], "n": x[:, 3]}
+
+    def _long(self, w: Words, threshold: float) -> dict[str, np.ndarray]:
         none = {k: np.zeros(0, np.int64) for k in ("doc", "item", "start", "n")} | {"similarity": np.zeros(0)}
         if not len(self.shingle):
             return none
-        w = words(texts)
         sh, at = shingles(w, K)
         i = np.flatnonzero(self.seen[(sh & U((1 << 20) - 1)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.shingle, sh[i]), len(self.shingle) - 1)
@@ -118,58 +146,85 @@ class Index:
         i, k = i[ok], k[ok]
         if not len(i):
             return none
-        entry, which = _expand(self.head[k], self.head[k + 1] - self.head[k])
-        pos, size = at[i][which], self.size[self.items[entry]]
-        doc = w.doc[pos]
-        left, right = w.bounds[doc], w.bounds[doc + 1]
-        lo = np.maximum(left, pos - size + K)
-        hi = np.maximum(lo, np.minimum(pos, right - size))
-        lo = np.minimum(lo, np.maximum(left, right - size))
-        base = int(self.size.max()) + 1
-        spans = np.unique(np.stack([size, lo, hi], 1), axis=0)
-        start, which = _expand(spans[:, 1], spans[:, 2] - spans[:, 1] + 1)
-        key = np.unique(start * base + spans[which, 0])
-        start, size = key // base, key % base
-        stop = np.minimum(start + size, w.bounds[w.doc[start] + 1])
+        # window starts by size that hold a shared shingle, some places at a time
+        found, base = [], int(self.size.max()) + 1
+        for lo in range(0, len(i), 20_000):
+            entry, which = _expand(self.head[k[lo : lo + 20_000]], self.head[k[lo : lo + 20_000] + 1] - self.head[k[lo : lo + 20_000]])
+            pos, size = at[i[lo : lo + 20_000]][which], self.size[self.items[entry]]
+            doc = w.doc[pos]
+            left, right = w.bounds[doc], w.bounds[doc + 1]
+            a = np.maximum(left, pos - size + K)
+            b = np.maximum(a, np.minimum(pos, right - size))
+            a = np.minimum(a, np.maximum(left, right - size))
+            spans = np.unique(np.stack([size, a, b], 1), axis=0)
+            start, which = _expand(spans[:, 1], spans[:, 2] - spans[:, 1] + 1)
+            found.append(np.unique(start * base + spans[which, 0]))
+        key = np.unique(np.concatenate(found))
+        best: list[np.ndarray] = []
+        shw, index = shingle_weight(w, at), np.full(len(w.hash) + 1, -1, np.int32)
+        index[at] = np.arange(len(at))
+        for lo in range(0, len(key), AT_ONCE):
+            start, size = key[lo : lo + AT_ONCE] // base, key[lo : lo + AT_ONCE] % base
+            stop = np.minimum(start + size, w.bounds[w.doc[start] + 1])
+            best.append(self._windows(w, start, size, stop, sh, shw, index, threshold))
+        x = np.concatenate(best)
+        doc, item, start, n, sim = (x[:, 0].astype(np.int64), x[:, 1].astype(np.int64), x[:, 2].astype(np.int64), x[:, 3].astype(np.int64), x[:, 4])
+        o = np.lexsort((start, -sim, item, doc))
+        o = o[np.concatenate([[True], (doc[o][1:] != doc[o][:-1]) | (item[o][1:] != item[o][:-1])])] if len(o) else o
+        return {"doc": doc[o], "item": item[o], "similarity": sim[o], "start": (start - w.bounds[doc])[o], "n": n[o]}
+
+    def _windows(self, w: Words, start: np.ndarray, size: np.ndarray, stop: np.ndarray, sh: np.ndarray, shw: np.ndarray, index: np.ndarray, threshold: float) -> np.ndarray:
+        """(document, item, start, words, similarity) of some windows that match; of a document
+        and item the best one here."""
         # fingerprints from running sums over the words that lie in some window
-        step = np.zeros(len(w.hash) + 1, np.int64)
-        np.add.at(step, start, 1)
-        np.add.at(step, stop, -1)
-        used = np.flatnonzero(np.cumsum(step)[:-1] > 0)
-        cum = np.zeros((len(used) + 1, 64), np.int64)
-        np.cumsum(_lanes(w.hash[used], (w.end - w.start)[used]), axis=0, out=cum[1:])
-        place = np.searchsorted(used, start)
-        fp = np.concatenate([_pack(cum[(p + (b - a))] - cum[p]) for p, a, b in ((place[x : x + 50_000], start[x : x + 50_000], stop[x : x + 50_000]) for x in range(0, len(start), 50_000))])
+        first = int(start[0])
+        step = np.zeros(int(stop.max()) - first + 1, np.int64)
+        np.add.at(step, start - first, 1)
+        np.add.at(step, stop - first, -1)
+        used = np.flatnonzero(np.cumsum(step)[:-1] > 0) + first
+        fp = np.zeros(len(start), np.uint64)
+        place, end = np.searchsorted(used, start), np.searchsorted(used, stop - 1) + 1
+        done = 0
+        while done < len(start):
+            a = int(place[done])
+            hi = max(done + 1, int(np.searchsorted(place, a + WORDS_AT_ONCE, "right")))
+            b = int(end[done:hi].max())
+            cum = np.zeros((b - a + 1, 64), np.int64)
+            np.cumsum(_lanes(w.hash[used[a:b]], (w.end - w.start)[used[a:b]]), axis=0, out=cum[1:])
+            fp[done:hi] = _pack(cum[end[done:hi] - a] - cum[place[done:hi] - a])
+            done = hi
         wins, items = [], []
         for s in np.unique(size):
             g = np.flatnonzero(size == s)
-            a, b = self.lookup(int(s), fp[g])
-            wins.append(g[a])
-            items.append(b)
+            x, y = self.lookup(int(s), fp[g])
+            wins.append(g[x])
+            items.append(y)
         win, item = np.concatenate(wins), np.concatenate(items)
         sim = np.zeros(len(win))
-        shw, index = shingle_weight(w, at), np.full(len(w.hash) + 1, -1)
-        index[at] = np.arange(len(at))
-        for x in range(0, len(win), 20_000):
-            c = slice(x, x + 20_000)
-            first, count = index[start[win[c]]], np.maximum(stop[win[c]] - start[win[c]] - K + 1, 0)
-            count[first < 0] = 0
-            j, who = _expand(first, count)
-            ident = np.stack([who.astype(np.uint64), sh[j]], 1)
-            o = np.lexsort((ident[:, 1], ident[:, 0]))
-            o = o[np.concatenate([[True], (ident[o][1:] != ident[o][:-1]).any(1)])] if len(o) else o
+        heavy = np.cumsum(size[win])
+        lo = 0
+        while lo < len(win):
+            hi = max(lo + 1, int(np.searchsorted(heavy, (heavy[lo - 1] if lo else 0) + SHINGLES_AT_ONCE, "right")))
+            c = slice(lo, hi)
+            head, count = index[start[win[c]]].astype(np.int64), np.maximum(stop[win[c]] - start[win[c]] - K + 1, 0)
+            count[head < 0] = 0
+            j, who = _expand(head, count)
+            o = np.lexsort((sh[j], who))
+            if len(o):
+                o = o[np.concatenate([[True], (who[o][1:] != who[o][:-1]) | (sh[j][o][1:] != sh[j][o][:-1])])]
             who, j = who[o], j[o]
             pair = mix(sh[j] + item[c][who].astype(np.uint64) * U(0x9E3779B97F4A7C15))
             hit = self.pair[np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)] == pair
             n = len(count)
             own, both = np.bincount(who, shw[j], n), np.bincount(who[hit], shw[j[hit]], n)
             sim[c] = both / np.maximum(own + self.total[item[c]] - both, 1)
+            lo = hi
         good = sim >= threshold
         win, item, sim = win[good], item[good], sim[good]
         doc = w.doc[start[win]]
         o = np.lexsort((start[win], -sim, item, doc))
         o = o[np.concatenate([[True], (doc[o][1:] != doc[o][:-1]) | (item[o][1:] != item[o][:-1])])] if len(o) else o
-        return {"doc": doc[o], "item": item[o], "similarity": sim[o], "start": (start[win] - w.bounds[doc])[o], "n": (stop - start)[win][o]}
+        return np.stack([doc[o], item[o], start[win][o], (stop - start)[win][o], sim[o]], 1).astype(np.float64)
 
 
 def indexes(benchmark: DataFrame, radius: int = RADIUS) -> list[Index]:

@@ -3,69 +3,92 @@
 Each word's script follows from Unicode ranges and leaves the languages written in it.
 Where several remain, letter-trigram models score the word; a Viterbi pass over the
 words of a document, with a penalty for each switch, labels spans. All documents of a
-batch advance through the pass together, as array operations.
+batch advance through the pass together, as array operations; a long text is cut into
+pieces that advance together and are chained, which gives the same path.
 
-Models are trained on at most about ``TRAIN_ROWS`` labelled documents, chosen by a seeded
-hash of the id; all else covers every document. A script that no trained language uses
-has one default language.
+Models are trained on ``TRAIN_ROWS`` labelled documents at most, as many of each label, chosen
+by a seeded hash of id and text; all else covers every document. Every letter of Unicode has
+a script. A script that no trained language uses has the default language of ``DEFAULTS``,
+else ``und``.
 
 Cases: a null or empty text, or one without letters, has language null, no spans and is
 rejected. Digits take the label of their neighbours. Of labels that tie, the first in
-alphabetical order wins. Rows that repeat are labelled each. Rows whose label is null do
-not train; with none at all, words of Latin script are ``und``. Other columns are kept.
+alphabetical order wins. Rows that repeat are labelled each, but train once. Rows whose label
+is null do not train; with none at all, words of Latin script are ``und``. Null or equal ids
+train as others do. Ids are of type long. Other columns are kept.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import slices
-from loomgrid.llm.textkernel import Words, words
+from loomgrid.llm.textkernel import Words, code_points, words
 
 TRAIN_ROWS = 2000
+#: the most frequent labels that are trained
+MOST_LABELS = 200
 SWITCH = 12.0
 MIN_SHARE = 0.5
 SPANS = "array<struct<lang:string,start_word:int,n_words:int>>"
 RESULT = f"doc_id long, lang string, share double, n_words long, accepted boolean, spans {SPANS}"
 _BUCKETS = 1 << 16
-#: first code point, script (0: none), default language
-RANGES = [
-    (0x00, 0, ""), (0x41, 1, ""), (0x5B, 0, ""), (0x61, 1, ""), (0x7B, 0, ""), (0xAA, 1, ""), (0xAB, 0, ""), (0xC0, 1, ""),
-    (0x2B9, 0, ""), (0x370, 2, "el"), (0x400, 3, "ru"), (0x530, 4, "hy"), (0x590, 5, "he"), (0x600, 6, "ar"), (0x780, 0, ""),
-    (0x900, 7, "hi"), (0x980, 8, "bn"), (0xA00, 0, ""), (0xB80, 9, "ta"), (0xC00, 0, ""), (0xE00, 10, "th"), (0xE80, 0, ""),
-    (0x10A0, 11, "ka"), (0x1100, 12, "ko"), (0x1200, 0, ""), (0x1E00, 1, ""), (0x1F00, 2, "el"), (0x2000, 0, ""), (0x3041, 14, "ja"),
-    (0x3100, 0, ""), (0x3400, 13, "zh"), (0xA000, 0, ""), (0xAC00, 12, "ko"), (0xD7B0, 0, ""), (0xF900, 13, "zh"), (0xFB00, 0, ""),
-    (0x20000, 13, "zh"), (0x30000, 0, ""),
-]
-_FIRST = np.array([r[0] for r in RANGES])
-_SCRIPT = np.array([r[1] for r in RANGES], np.int8)
-DEFAULTS = {1: "und"} | {s: lang for _, s, lang in RANGES if lang}
+#: default languages of the scripts that no trained language uses; the first one of a script wins a tie
+DEFAULTS = {
+    "LATIN": ["und"], "GREEK": ["el"], "CYRILLIC": ["ru"], "ARMENIAN": ["hy"], "HEBREW": ["he"], "ARABIC": ["ar"], "SYRIAC": ["syr"], "THAANA": ["dv"], "NKO": ["nqo"],
+    "DEVANAGARI": ["hi"], "BENGALI": ["bn"], "GURMUKHI": ["pa"], "GUJARATI": ["gu"], "ORIYA": ["or"], "TAMIL": ["ta"], "TELUGU": ["te"], "KANNADA": ["kn"], "MALAYALAM": ["ml"],
+    "SINHALA": ["si"], "THAI": ["th"], "LAO": ["lo"], "TIBETAN": ["bo"], "MYANMAR": ["my"], "GEORGIAN": ["ka"], "HANGUL": ["ko"], "ETHIOPIC": ["am"], "CHEROKEE": ["chr"],
+    "CANADIAN": ["iu"], "KHMER": ["km"], "MONGOLIAN": ["mn"], "TIFINAGH": ["zgh"], "YI": ["ii"], "BOPOMOFO": ["zh"], "JAVANESE": ["jv"], "BALINESE": ["ban"], "OL": ["sat"],
+    "HIRAGANA": ["ja"], "KATAKANA": ["ja"], "CJK": ["zh", "ja"], "VAI": ["vai"], "ADLAM": ["ff"], "LISU": ["lis"],
+}
+#: what a language that isn't a script's first default loses a word of it
+SECOND = 0.5
 _NEVER = -60.0
 
 
+@functools.cache
+def script_table() -> tuple[np.ndarray, list[str]]:
+    """Script of every code point (0: no letter), and the scripts' names; Latin is 1. The
+    name of a letter says its script, so that every letter has one."""
+    names, number = ["", "LATIN"], {"LATIN": 1}
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0xAA, 0x323B0):
+        ch = chr(c)
+        if unicodedata.category(ch)[0] == "L":
+            if 0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD7A4 or c >= 0x20000:
+                name = "HANGUL" if 0xAC00 <= c < 0xD7A4 else "CJK"
+            else:
+                parts = unicodedata.name(ch, "OTHER").replace("-", " ").split()
+                name = next((x for x in parts if x in DEFAULTS), "LATIN" if parts[0] in _NO_SCRIPT else parts[0])
+            out[c] = number.setdefault(name, min(len(names), 255))
+            if out[c] == len(names):
+                names.append(name)
+    for lo, hi in ((0x41, 0x5B), (0x61, 0x7B)):
+        out[lo:hi] = 1
+    return out, names
+
+
+#: first words of the names of letters that belong to no script
+_NO_SCRIPT = {"MODIFIER", "MATHEMATICAL", "FEMININE", "MASCULINE", "SCRIPT", "BLACK", "DOUBLE", "ALEF", "BET", "GIMEL", "DALET", "INFORMATION", "TURNED", "ROTATED", "REVERSED", "LIGATURE", "MICRO", "CARON", "EULER", "PLANCK", "OHM", "KELVIN", "ANGSTROM", "VEDIC"}
+
+
 def word_scripts(w: Words) -> np.ndarray:
     """Highest script number among the letters of each word; 0 without letters."""
     if not len(w.hash):
-        return np.zeros(0, np.int8)
-    b = w.buf.astype(np.int32)
-    nxt = np.concatenate([b[1:], [0, 0, 0]])
-    cp = np.where(b < 0x80, b, 0)
-    n = len(b)
-    for low, high, keep, more in ((0xC0, 0xE0, 0x1F, 1), (0xE0, 0xF0, 0x0F, 2), (0xF0, 0xF8, 0x07, 3)):
-        i = np.flatnonzero((b >= low) & (b < high))
-        v = b[i] & keep
-        for k in range(more):
-            v = (v << 6) | (nxt[i + k] & 0x3F)
-        cp[i] = v
-    s = _SCRIPT[np.searchsorted(_FIRST, cp, "right") - 1]
-    s = np.append(s, np.int8(0))
-    return np.maximum.reduceat(s, np.stack([w.start, w.end], 1).ravel())[::2] if n else s[:0]
+        return np.zeros(0, np.uint8)
+    table, _ = script_table()
+    s = np.append(table[:256][np.where(w.buf < 0x80, w.buf, 0)], np.uint8(0))
+    at, cp = code_points(w.buf)
+    s[at] = table[cp]
+    return np.maximum.reduceat(s, np.stack([w.start, w.end], 1).ravel())[::2]
 
 
 def trigrams(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +110,7 @@ class Model:
     states: list[str]
     scripts: np.ndarray  #: (scripts, states) whether a state can write the script
     table: np.ndarray  #: (buckets, states) log probabilities, 0 where untrained
+    prior: np.ndarray  #: (scripts, states) added to a word of the script
     switch: float = SWITCH
 
     def scores(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -99,23 +123,33 @@ class Model:
         for lo in range(0, len(first), 32_768):  # a trigram's row of scores is wide: few at a time
             a, hi = first[lo], min(lo + 32_768, len(first))
             b = first[hi] if hi < len(first) else len(code)
-            s[lo:hi, known] = np.add.reduceat(table[code[a:b]], first[lo:hi] - a, axis=0)
-        can = self.scripts[script]
-        s = np.where(can.sum(1, keepdims=True) > 1, s, 0).astype(np.float32)
-        s = np.where(can, s, np.float32(0))
-        worst = np.where(can, s, np.inf).min(1, keepdims=True)
-        s = np.where(can, s, np.where(np.isfinite(worst), worst, 0) + np.float32(_NEVER))
-        s[script == 0] = 0
-        return s.astype(np.float32), script
+            part = s[lo:hi]
+            part[:, known] = np.add.reduceat(table[code[a:b]], first[lo:hi] - a, axis=0)
+            can = self.scripts[script[lo:hi]]
+            part[can.sum(1) <= 1] = 0
+            part += self.prior[script[lo:hi]]
+            worst = np.where(can, part, np.inf).min(1, keepdims=True)
+            np.copyto(part, np.where(np.isfinite(worst), worst, 0) + np.float32(_NEVER), where=~can)
+            part[script[lo:hi] == 0] = 0
+        return s, script
 
     def label(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """State of each word by Viterbi over each document, and the scripts."""
-        s, script = self.scores(w)
-        return viterbi(s, w.bounds, self.switch), script
+        if len(w.hash) <= PART_WORDS and np.diff(w.bounds).max(initial=0) <= 4 * PIECE:
+            s, script = self.scores(w)
+            return viterbi(s, w.bounds, self.switch), script
+        return viterbi_in_parts(lambda a, b: self.scores(_part(w, a, b))[0], w.bounds, self.switch, len(self.states)), word_scripts(w)
+
 
+def _part(w: Words, a: int, b: int) -> Words:
+    """Some of the words, without their documents."""
+    lo, hi = (int(w.start[a]), int(w.end[b - 1])) if b > a else (0, 0)
+    return replace(w, hash=w.hash[a:b], start=w.start[a:b] - lo, end=w.end[a:b] - lo, buf=w.buf[lo:hi], doc=w.doc[a:b])
 
-def viterbi(score: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray:
-    """Best path of each document; the documents advance together, longest first."""
+
+def viterbi(score: np.ndarray, bounds: np.ndarray, switch: float, entry: np.ndarray | None = None, final: np.ndarray | None = None) -> np.ndarray:
+    """Best path of each document; the documents advance together, longest first. ``entry`` is
+    the state before each document and ``final`` that of its last word; -1 leaves it free."""
     n = np.diff(bounds)
     order = np.argsort(-n, kind="stable")
     head, size = bounds[:-1][order], n[order]
@@ -127,6 +161,11 @@ def viterbi(score: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray:
     best_prev = np.zeros(len(score), np.int16)
     moved = np.zeros(score.shape, bool)
     v = score[head[: alive[0]]].astype(np.float64)
+    if entry is not None:
+        e = entry[order][: alive[0]]
+        i = np.flatnonzero(e >= 0)
+        v[i] -= switch
+        v[i, e[i]] += switch
     last = np.zeros(len(head), np.int64)
     for t in range(1, steps + 1):
         m = int(alive[t]) if t < steps else 0
@@ -141,7 +180,7 @@ def viterbi(score: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray:
         turn = jump > v
         best_prev[at], moved[at] = b, turn
         v = np.where(turn, jump, v) + score[at]
-    state = last
+    state = last if final is None else np.where(final[order] >= 0, final[order], last)
     for t in range(steps - 1, -1, -1):
         m = int(alive[t])
         at = head[:m] + t
@@ -150,38 +189,116 @@ def viterbi(score: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray:
     return out
 
 
+#: words that are scored at a time, and words of a piece of a text longer than that
+PART_WORDS = 1 << 18
+PIECE = 1 << 10
+
+
+def viterbi_in_parts(score, bounds: np.ndarray, switch: float, states: int) -> np.ndarray:
+    """As ``viterbi`` of ``score(first, end)``, which is asked for a bounded number of words. A
+    document is cut into pieces. For each the best way from every state to every other is
+    found, all pieces advancing together; these are chained through the document, and then
+    each piece has its path between the states that the chain gives it."""
+    docs = np.repeat(np.arange(len(bounds) - 1), -(-np.diff(bounds) // PIECE))
+    first = np.searchsorted(docs, np.arange(len(bounds)))
+    head = bounds[docs] + (np.arange(len(docs)) - first[docs]) * PIECE
+    tail = np.minimum(head + PIECE, bounds[docs + 1])
+    inner = np.flatnonzero((tail < bounds[docs + 1]) | (head > bounds[docs]))  # of documents of several pieces
+    ways = np.zeros((len(docs), states, states))
+    parts = max(1, PART_WORDS // PIECE)
+    for lo in range(0, len(inner), parts):
+        p = inner[lo : lo + parts]
+        base, size = int(head[p[0]]), tail[p] - head[p]
+        s = score(base, int(tail[p[-1]]))
+        at = head[p] - base
+        v = np.where(np.eye(states, dtype=bool), 0.0, -switch)[None] + s[at][:, None, :].astype(np.float64)
+        for t in range(1, int(size.max())):
+            on = np.flatnonzero(size > t)
+            x = v[on]
+            v[on] = np.maximum(x, x.max(2, keepdims=True) - switch) + s[at[on] + t][:, None, :]
+        ways[p] = v
+    entry, final = np.full(len(docs), -1), np.full(len(docs), -1)
+    for d in np.unique(docs[inner]):
+        a, b = int(first[d]), int(first[d + 1])
+        # nothing comes before the first piece: the state before is whichever suits best
+        value, back = ways[a].max(0), []
+        for k in range(a + 1, b):
+            total = value[:, None] + ways[k]
+            back.append(total.argmax(0))
+            value = total.max(0)
+            value = value - value.max()
+        state = int(value.argmax())
+        for k in range(b - 1, a - 1, -1):
+            final[k] = state
+            if k > a:
+                state = int(back[k - a - 1][state])
+                entry[k] = state
+    out = np.zeros(int(bounds[-1]), np.int16)
+    lo = 0
+    while lo < len(docs):
+        hi = max(lo + 1, int(np.searchsorted(tail, head[lo] + PART_WORDS, "right")))
+        base, end = int(head[lo]), int(tail[hi - 1])
+        out[base:end] = viterbi(score(base, end), np.append(head[lo:hi], end) - base, switch, entry[lo:hi], final[lo:hi])
+        lo = hi
+    return out
+
+
+def training_rows(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS, seed: int = 9) -> DataFrame:
+    """(label, text) of the rows that train: of each label the ``rows`` / labels that a seeded
+    hash of id and text puts first."""
+    known = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("label"), "doc_id", "text")
+    sizes = known.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LABELS).collect()
+    if not sizes:
+        return known.select("label", "text").limit(0)
+    each = max(1, rows // len(sizes))
+    h = F.xxhash64(F.lit(seed), "doc_id", F.col("doc_id").isNull(), "text")
+    # a share of the hashes leaves few rows of a label for the ranks: six deviations above what is wanted
+    share = {r.label: min(1.0, (each + 6 * each**0.5 + 36) / r.n) for r in sizes}
+    bound = F.lit(None).cast("long")
+    for name, x in share.items():
+        bound = F.when(F.col("label") == F.lit(name), F.lit(min(int(x * 2.0**64) - 2**63, 2**63 - 1))).otherwise(bound)
+    few = known.withColumn("h", h).where(F.col("h") <= bound).select("label", "text", "h").distinct()
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
+    return few.withColumn("place", place).where(F.col("place") <= each).select("label", "text")
+
+
 def train(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS, seed: int = 9, switch: float = SWITCH) -> Model:
-    """Trigram models of the labels, from about ``rows`` documents at most."""
-    known = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col(label).alias("label"))
-    total = known.select("label").count()
-    share = int(min(1.0, rows / max(total, 1)) * (1 << 30))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share
-    sample = known.where(pick).limit(2 * rows).toArrow()
+    """Trigram models of the labels, from ``training_rows``."""
+    sample = training_rows(docs, label, rows, seed).toArrow()
     labels = np.array(sample.column("label").to_pylist(), object)
     names = sorted(set(labels))
+    scripts = script_table()[1]
     count = np.zeros((_BUCKETS, len(names)))
-    used = np.zeros((len(names), 32))
+    used = np.zeros((len(names), len(scripts)))
     for k, name in enumerate(names):
         texts = sample.filter(pa.array(labels == name)).column("text").combine_chunks()
         w = words(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts)
         script = word_scripts(w)
         code, first = trigrams(w)
         count[:, k] = np.bincount(code[np.repeat(script > 0, w.end - w.start)], minlength=_BUCKETS)
-        used[k] = np.bincount(script, minlength=32)
+        used[k] = np.bincount(script, w.end - w.start, len(scripts))
     used[:, 0] = 0
     trained = used > 0.05 * np.maximum(used.sum(1, keepdims=True), 1)
-    states = sorted({*names, *(DEFAULTS[s] for s in DEFAULTS if not trained[:, s].any())})
-    can = np.zeros((32, len(states)), bool)
+    trained[:, 0] = False
+    free = {scripts.index(s): d for s, d in DEFAULTS.items() if s in scripts and not trained[:, scripts.index(s)].any()}
+    free |= {s: ["und"] for s in range(1, len(scripts)) if s not in free and not trained[:, s].any()}
+    states = sorted({*names, *(x for d in free.values() for x in d)})
+    can = np.zeros((len(scripts), len(states)), bool)
+    prior = np.zeros((len(scripts), len(states)), np.float32)
     table = np.zeros((_BUCKETS, len(states)), np.float32)
-    for j, name in enumerate(states):
-        if name in names:
-            k = names.index(name)
-            can[trained[k], j] = True
-            table[:, j] = np.log((count[:, k] + 0.1) / (count[:, k].sum() + 0.1 * _BUCKETS))
-        for s, default in DEFAULTS.items():
-            if default == name and not trained[:, s].any():
-                can[s, j] = True
-    return Model(states, can, table, switch)
+    for k, name in enumerate(names):
+        j = states.index(name)
+        can[trained[k], j] = True
+        table[:, j] = np.log((count[:, k] + 0.1) / (count[:, k].sum() + 0.1 * _BUCKETS))
+    for s, found in free.items():
+        for x in found:
+            can[s, states.index(x)] = True
+            prior[s, states.index(x)] = 0 if x == found[0] else -SECOND
+    for s in free:  # a default has no trigrams to compare
+        can_many = np.flatnonzero(can[s])
+        if len(can_many) > 1 and (table[:, can_many] != 0).any():
+            can[s] = [x == free[s][0] for x in states]
+    return Model(states, can, table, prior, switch)
 
 
 def spans_of(texts: pa.Array, model: Model) -> dict:

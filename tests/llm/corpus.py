@@ -6,10 +6,12 @@ import random
 import re
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-WORD = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
+HAN = "\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff"
+WORD = re.compile(rf"[{HAN}]|(?:[^\W_{HAN}])+")
 
 
 def tokens(text: str | None) -> list[str]:
+    """Words of texts in which no marks occur."""
     return WORD.findall((text or "").lower())
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from loomgrid.llm import decontaminate as D
@@ -9,6 +10,8 @@ from tests.llm.corpus import ODD, frame, prose, rows, tokens
 
 
 def weighted(words):
+    if len(words) < 3:
+        return {tuple(words): 1}
     return {tuple(words[i : i + 3]): sum(len(w.encode()) for w in words[i : i + 3]) for i in range(len(words) - 2)}
 
 
@@ -21,7 +24,7 @@ def similarity(a, b):
 @pytest.fixture(scope="module")
 def items():
     rng = random.Random(21)
-    return [(i, prose(rng, rng.randrange(12, 60), 4000)) for i in range(25)] + [(50, None), (51, ""), (52, "two words"), (None, "an item that has no number at all"), (3, prose(rng, 30))] + [(7, "a repeated row of items"), (7, "a repeated row of items")]
+    return [(i, prose(rng, rng.randrange(12, 60), 4000)) for i in range(25)] + [(50, None), (51, ""), (52, "two words"), (None, "an item that has no number at all"), (3, prose(rng, 30)), (53, "北京是哪个国家的首都？"), (54, "问题"), (55, "తెలుగు భాష చాలా అందమైనది")] + [(7, "a repeated row of items"), (7, "a repeated row of items")]
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +36,7 @@ def docs(items):
         for share in (0, 0.05, 0.1):
             texts.append(f"{prose(rng, 60, 4000)} " + " ".join(f"q{rng.randrange(999)}" if rng.random() < share else w for w in words) + f"! {prose(rng, 40, 4000)}")
         texts.append(" ".join(words[: len(words) // 4]) + f" {prose(rng, 50, 4000)}")
+    texts += ["so two words, then", "北京是哪个国家的首都？", "請問北京是哪个国家的首都", "テスト問題は難しい", "తెలుగు భాష చాలా అందమైనది కదా"]
     texts += ["An item that has NO number at all", "a repeated row of items", "of items"]
     return rows(texts) + ODD
 
@@ -44,7 +48,7 @@ def brute(docs, items):
         w = tokens(d[1])
         for i, text in items:
             n = len(tokens(text))
-            if n < 3 or not w:
+            if not n or not w or n < 3 and len(w) < n:
                 continue
             best = max((similarity(w[k : k + n], tokens(text)) for k in range(max(1, len(w) - n + 1))), default=0)
             if best >= D.THRESHOLD:
@@ -82,6 +86,16 @@ def test_slices_of_the_benchmark(spark, docs, items, monkeypatch):
     assert sorted(map(tuple, D.find_contamination(frame(spark, docs), bench).collect()), key=str) == whole
 
 
+def test_one_very_long_text(items):
+    """Some 5 MB, with the items in it."""
+    rng = random.Random(23)
+    filler = prose(rng, 400_000, 4000)
+    text = filler + " " + " ".join(t for _, t in items if t) + " " + filler[:1_000_000]
+    index = D.Index([i for i, t in items if t], [t for _, t in items if t], D.RADIUS)
+    found = index.matches(pa.array([text, "two words"]), D.THRESHOLD)
+    assert {i for i, s in zip(found["item"].tolist(), found["similarity"].tolist()) if s == 1} >= set(range(25))
+
+
 def test_empty_tables(spark, docs, items):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.find_contamination(frame(spark, docs), none).count() == 0

@@ -56,9 +56,50 @@ def test_spans_of_mixed_text(model):
 
 def test_scripts_narrow_the_candidates(model):
     w = words(pa.array(["abc дом สวัสดี 漢字 12"]))
-    assert [int(s) for s in L.word_scripts(w)] == [1, 3, 10, 13, 0]
-    state, _ = model.label(words(pa.array(["漢字 テスト Привет"])))
-    assert model.states[state[0]] == "zh" and model.states[state[2]] == "ru"
+    names = L.script_table()[1]
+    assert [names[s] for s in L.word_scripts(w)] == ["LATIN", "CYRILLIC", *["THAI"] * 4, "CJK", "CJK", ""]
+    w = words(pa.array(["漢字 жук Привет", "漢字テスト"]))
+    state, _ = model.label(w)
+    assert [model.states[s] for s in state] == ["zh", "zh", "ru", "ru", *["ja"] * 5]
+
+
+WORLD = {"te": "తెలుగు భాష చాలా అందమైనది", "gu": "ગુજરાતી ભાષા સુંદર છે", "pa": "ਪੰਜਾਬੀ ਭਾਸ਼ਾ ਸੋਹਣੀ ਹੈ", "kn": "ಕನ್ನಡ ಭಾಷೆ ಸುಂದರವಾಗಿದೆ", "ml": "മലയാളം ഭാഷ മനോഹരമാണ്", "si": "සිංහල භාෂාව ලස්සනයි", "km": "ភាសាខ្មែរស្អាតណាស់", "my": "မြန်မာဘာသာစကား", "lo": "ພາສາລາວງາມ", "bo": "བོད་ཀྱི་སྐད་ཡིག", "am": "አማርኛ ቋንቋ ቆንጆ ነው", "zh": "北京是中国的首都", "ja": "これは日本語の文章です", "ko": "한국어는 아름답습니다", "th": "ภาษาไทยสวยงาม", "el": "η γλώσσα είναι όμορφη"}
+
+
+def test_every_letter_has_a_script(spark, model):
+    import unicodedata
+
+    table, _ = L.script_table()
+    assert not [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L" and not table[c]]
+    data = [(i, t, None, "s", 1) for i, t in enumerate(WORLD.values())]
+    kept = {r.doc_id for r in L.keep_identified(frame(spark, data), model).collect()}
+    assert kept == set(range(len(WORLD)))
+    assert [r.lang for r in L.label_languages(frame(spark, data, 1), model).orderBy("doc_id").collect()] == list(WORLD)
+    # labelled rows of such a script train, with null ids too
+    own = L.train(frame(spark, [(None, f"{WORLD['te']} {i}", "xx", "s", 1) for i in range(50)]))
+    assert [r.lang for r in L.label_languages(frame(spark, data[:1]), own).collect()] == ["xx"]
+
+
+def test_the_sample_is_the_same_for_all_orders_and_has_every_label(spark):
+    data = [(None if i % 3 else 7, f"text {i} of this", "big", "s", 1) for i in range(3000)] + [(i, f"rare {i}", "small", "s", 1) for i in range(5)]
+    got = [sorted(map(tuple, L.training_rows(frame(spark, data, parts), rows=100).collect())) for parts in (1, 5)]
+    assert got[0] == got[1] and sum(r[0] == "small" for r in got[0]) == 5 and sum(r[0] == "big" for r in got[0]) == 50
+
+
+def test_long_texts_are_cut_into_pieces(model, monkeypatch):
+    g = np.random.default_rng(1)
+    monkeypatch.setattr(L, "PIECE", 7)
+    monkeypatch.setattr(L, "PART_WORDS", 60)
+    for _ in range(30):
+        bounds = np.concatenate([[0], np.cumsum(g.integers(0, 60, 5))])
+        score = g.normal(size=(bounds[-1], 4)) * 4
+        assert (L.viterbi(score, bounds, 3.0) == L.viterbi_in_parts(lambda a, b, s=score: s[a:b], bounds, 3.0, 4)).all()
+    monkeypatch.undo()
+    rng = random.Random(5)
+    long = f"{text(rng, 'aa', 3000)} {text(rng, 'bb', 3000)} {text(rng, 'aa', 3000)} " * 20
+    r = L.spans_of(pa.array(["", long, text(rng, "bb", 30)]), model)
+    sizes = r["size"][: r["offsets"][2]]
+    assert len(sizes) == 41 and abs(sizes[1:-1] - np.resize([3000, 6000], 39)).max() < 10
 
 
 def test_rows_that_have_no_language(spark, model):
