@@ -113,9 +113,8 @@ class Model:
     prior: np.ndarray  #: (scripts, states) added to a word of the script
     switch: float = SWITCH
 
-    def scores(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(words, states) log scores, and the words' scripts."""
-        script = word_scripts(w)
+    def scores(self, w: Words, script: np.ndarray) -> np.ndarray:
+        """(words, states) log scores."""
         code, first = trigrams(w)
         s = np.zeros((len(first), len(self.states)), np.float32)
         known = np.flatnonzero(self.table.any(0))
@@ -131,14 +130,20 @@ class Model:
             worst = np.where(can, part, np.inf).min(1, keepdims=True)
             np.copyto(part, np.where(np.isfinite(worst), worst, 0) + np.float32(_NEVER), where=~can)
             part[script[lo:hi] == 0] = 0
-        return s, script
+        return s
 
     def label(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """State of each word by Viterbi over each document, and the scripts."""
+        script = word_scripts(w)
+        # a state that can write none of the words is on no best path
+        few = np.flatnonzero(self.scripts[np.flatnonzero(np.bincount(script, minlength=1))].any(0))
+        few = few if len(few) else np.arange(min(1, len(self.states)))
+        m = replace(self, states=[self.states[j] for j in few], scripts=self.scripts[:, few], table=self.table[:, few], prior=self.prior[:, few])
         if len(w.hash) <= PART_WORDS and np.diff(w.bounds).max(initial=0) <= 4 * PIECE:
-            s, script = self.scores(w)
-            return viterbi(s, w.bounds, self.switch), script
-        return viterbi_in_parts(lambda a, b: self.scores(_part(w, a, b))[0], w.bounds, self.switch, len(self.states)), word_scripts(w)
+            s = viterbi(m.scores(w, script), w.bounds, self.switch)
+        else:
+            s = viterbi_in_parts(lambda a, b: m.scores(_part(w, a, b), script[a:b]), w.bounds, self.switch, len(few))
+        return few[s] if len(few) else s, script
 
 
 def _part(w: Words, a: int, b: int) -> Words:
