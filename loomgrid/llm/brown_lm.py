@@ -1,24 +1,30 @@
 """Language-model scoring with Brown classes.
 
-Words are counted over all documents. A word with ``MIN_SHARE`` of all tokens is a type of
-its own, any other joins its others of like shape as one of ``KINDS`` types: so there are
-1 / ``MIN_SHARE`` types at most at any size of the corpus, and all tokens count. Bigrams of
-types are counted over all documents too. Exchange clustering then assigns types to
-``CLASSES`` classes: in each round a third of the types is tried in every class and moves
-to the one that raises the likelihood of the class bigrams most; if the moves together
-lower it, the half with the lesser gains is taken back. A word's probability is that of its
-class after the class before (Witten-Bell smoothing with the class unigrams) times its
-share of the class; a word of a shape type has an equal share with all such words, one
-unseen word included, so the probabilities of all words sum to one.
-
-Cost: two aggregates, of words and of bigrams, combined in each partition first. The
-rounds read the bigrams grouped by type and send class counts; only class counts, moves
-and the types (a bounded number) reach the driver. Texts are read three times and never
-shuffled.
+Words are counted over all documents. Every word that occurs ``MIN_COUNT`` times is a type
+of its own, at any size of the corpus; rarer ones join others of like shape as one of
+``KINDS`` types. The types with ``MIN_SHARE`` of all tokens, 1 / ``MIN_SHARE`` at most, are
+the core: their bigrams are counted and exchange clustering assigns them to ``CLASSES``
+classes, the other words counting as shapes meanwhile. In each round a third of the core is
+tried in every class and moves to the one that raises the likelihood of the class bigrams
+most; if the moves together lower it, the half with the lesser gains is taken back. Rounds
+end when a cycle in which every type was tried moves none, or raises the likelihood by less
+than ``MIN_GAIN`` a token. Then each other type goes to the class in which the words beside
+it, by their classes, are most likely. The class bigrams are counted over all documents with
+the classes of all types. A word's probability is that of its class after the class before
+(Witten-Bell smoothing with the class unigrams) times its share of the class; a word of a
+shape type has an equal share with all such words, one unseen word included, so the
+probabilities of all words sum to one.
+
+Cost: the core (a bounded number of types), class counts and moves reach the driver. The
+other types stay in a table by word, which grows with the corpus: a row a token of theirs is
+shuffled to class them, and a group of them has less than ``MIN_SHARE`` of the tokens. To
+look them up, documents are hashed to parts of about ``PART_BYTES``; the words of a part are
+joined with the table and the answers meet the part's texts, which are shuffled once.
 
 Cases: null and empty texts and those without words have ``n_words`` 0 and null scores; they
-do not count. Repeated rows count and are scored each. Ties go to the least class. Other
-columns don't matter. An empty table gives no rows. Words and texts of any length count.
+do not count. Repeated rows count and are scored each. Ties go to the least class. Ids are of
+type long. Other columns don't matter. An empty table gives no rows. Words and texts of any
+length count.
 """
 
 from __future__ import annotations
@@ -35,10 +41,13 @@ from pyspark.sql import functions as F
 from loomgrid.llm.common import materialize, slices
 from loomgrid.llm.textkernel import U, Words, mix, words
 
+MIN_COUNT = 3
 MIN_SHARE = 2e-6
 CLASSES = 64
-ROUNDS = 6
 TURNS = 3
+#: nats a token
+MIN_GAIN = 1e-2
+PART_BYTES = 8 << 20
 SCORE = "doc_id long, n_words long, log_prob double, perplexity double"
 #: shapes: digits, ASCII letters, other letters; by length up to 4, 8, 16 and beyond
 KINDS = 12
@@ -87,9 +96,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = lambda x: pa.record_batch({"key": pa.array(x[0]), "n": pa.array(x[1])})
     for b in slices(batches, "text"):
         w = words(b.column("text"))
-        # the shape takes the place of the hash's last four bits
-        key = ((w.hash & U(2**64 - 16)) | kinds(w).astype(np.uint64)).view(np.int64)
-        u, n = np.unique(key, return_counts=True)
+        u, n = np.unique(keys_of(w), return_counts=True)
         if (full := sums.add(u, n)) is not None:
             yield out(full)
     yield out(sums.take())
@@ -104,29 +111,45 @@ class Model:
     group: np.ndarray  #: class of each type; that of the edge is the last
     pairs: np.ndarray  #: counts of class bigrams
     classes: int
+    rest: DataFrame | None = None  #: (key, class, n) of the types beside the core
+    rest_weight: np.ndarray | None = None  #: their weight in each class
+    encoded: DataFrame | None = None  #: the training documents, from ``encode``
 
     def types(self, w: Words) -> np.ndarray:
         """Type of each word."""
-        kind = kinds(w)
-        key = ((w.hash & U(2**64 - 16)) | kind.astype(np.uint64)).view(np.int64)
+        key = keys_of(w)
+        kind = key & 15
         if not len(self.key):
             return 1 + kind
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where(self.key[at] == key, self.ident[at], 1 + kind)
 
-    def log_tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Log probabilities of a class after a class, and of a word of a type in its class."""
+    def slim(self) -> Model:
+        """What executors need."""
+        return replace(self, rest=None, encoded=None)
+
+    def moves(self) -> np.ndarray:
+        """Log probabilities of a class after a class."""
         n = self.pairs.astype(np.float64)
         into = n.sum(0)
         base = (into + 1) / (into.sum() + len(into))
         kinds_after = np.maximum((n > 0).sum(1, keepdims=True), 1)
-        move = np.log((n + kinds_after * base) / (n.sum(1, keepdims=True) + kinds_after))
+        return np.log((n + kinds_after * base) / (n.sum(1, keepdims=True) + kinds_after))
+
+    def weights(self) -> np.ndarray:
+        """Total weight of the types of each class."""
         weight = self.count + 0.5
         weight[EDGE] = 1
         total = np.bincount(self.group, weight, self.classes + 1)
-        emit = np.log(weight / total[self.group])
+        return total if self.rest_weight is None else total + self.rest_weight
+
+    def emissions(self) -> np.ndarray:
+        """Log probabilities of a word of a core or shape type in its class."""
+        weight = self.count + 0.5
+        weight[EDGE] = 1
+        emit = np.log(weight / self.weights()[self.group])
         emit[1:FIRST] -= np.log(self.distinct + 1)
-        return move, emit
+        return emit
 
 
 def likelihood(pairs: np.ndarray) -> float:
@@ -213,10 +236,11 @@ def _moves(group: np.ndarray, pairs: np.ndarray, classes: int, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = classes + 1
         for big in batches:
+            ids = big.column("w").to_numpy()
+            big = big.filter(pa.array((mix(ids.astype(np.uint64), 77) % U(TURNS) == U(turn % TURNS)) & (ids != EDGE)))
             for lo in range(0, big.num_rows, 256):
                 b = big.slice(lo, 256)
                 ids = b.column("w").to_numpy()
-                mine = (mix(ids.astype(np.uint64), 77) % U(TURNS) == U(turn % TURNS)) & (ids != EDGE)
                 side, own = {}, np.zeros(b.num_rows)
                 for name in ("r", "l"):
                     w, at, n, row = _lists(b, name)
@@ -224,7 +248,7 @@ def _moves(group: np.ndarray, pairs: np.ndarray, classes: int, turn: int):
                     side[name] = np.bincount(row[other] * k + group[at[other]], n[other], b.num_rows * k).reshape(-1, k)
                     own = np.bincount(row[~other], n[~other], b.num_rows)
                 found = []
-                for i in np.flatnonzero(mine):
+                for i in range(b.num_rows):
                     g = gains(pairs, int(group[ids[i]]), side["r"][i], side["l"][i], own[i])[:classes]
                     best = int(g.argmax())
                     if g[best] > 1e-6:
@@ -241,10 +265,12 @@ def _class_pairs(near: DataFrame, group: np.ndarray, classes: int) -> np.ndarray
     return out.reshape(classes + 1, classes + 1)
 
 
-def exchange(near: DataFrame, group: np.ndarray, classes: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and their bigram counts after some rounds of exchange from ``group``."""
+def exchange(near: DataFrame, group: np.ndarray, classes: int, rounds: int | None = None, min_gain: float = MIN_GAIN) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and their bigram counts after exchange from ``group``, to the end or for some rounds."""
     pairs = _class_pairs(near, group, classes)
-    for turn in range(rounds):
+    tokens = max(1, int(pairs.sum()))
+    turn, at_cycle = 0, likelihood(pairs)
+    while rounds is None or turn < rounds:
         t = near.mapInArrow(_moves(group, pairs, classes, turn), "w int, to int, gain double").toArrow()
         w, to, gain = (t.column(c).to_numpy() for c in ("w", "to", "gain"))
         order = np.lexsort([w, -gain])
@@ -256,15 +282,21 @@ def exchange(near: DataFrame, group: np.ndarray, classes: int, rounds: int = ROU
                 group, pairs = trial, after
                 break
             order = order[: len(order) // 2]
+        turn += 1
+        if rounds is None and turn % TURNS == 0:
+            now = likelihood(pairs)
+            if now - at_cycle < min_gain * tokens:
+                break
+            at_cycle = now
     return group, pairs
 
 
-def train(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, min_share: float = MIN_SHARE) -> Model:
+def train(docs: DataFrame, classes: int = CLASSES, rounds: int | None = None, min_share: float = MIN_SHARE, min_count: int = MIN_COUNT, part_bytes: int = PART_BYTES) -> Model:
     """Counts, classes and class bigrams of all documents."""
     slim = docs.select("text").where("text is not null")
     counted = materialize(slim.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(2, math.ceil(min_share * total))
+    least = max(min_count, math.ceil(min_share * total))
     t = counted.where(F.col("n") >= least).toArrow()
     key, n = t.column("key").to_numpy(), t.column("n").to_numpy()
     order = np.lexsort([key, -n])
@@ -274,8 +306,11 @@ def train(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, min_sha
     count = np.zeros(FIRST + len(key))
     count[FIRST:] = n[order]
     distinct = np.zeros(KINDS)
-    for r in counted.where(F.col("n") < least).groupBy(F.col("key").bitwiseAND(15).cast("int").alias("k")).agg(F.count("*").alias("d"), F.sum("n").alias("n")).collect():
-        distinct[r.k], count[1 + r.k] = r.d, r.n
+    kind = F.col("key").bitwiseAND(15).cast("int").alias("k")
+    rare = F.col("n") < min_count
+    loose = counted.where(F.col("n") < least).groupBy(kind).agg(F.sum("n").alias("all"), F.count_if(rare).alias("d"), F.coalesce(F.sum(F.when(rare, F.col("n"))), F.lit(0)).alias("n")).collect()
+    for r in loose:
+        count[1 + r.k] = r.all
     rank = np.argsort(np.argsort(-count[1:], kind="stable"), kind="stable")
     group = np.append(classes, rank % classes)
     model = Model(key[by_key], ident[by_key], count, distinct, group, np.zeros((classes + 1, classes + 1), np.int64), classes)
@@ -285,31 +320,190 @@ def train(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, min_sha
     pack = lambda other: F.collect_list(F.shiftleft(F.col(other).cast("long"), _BITS) + F.col("n"))
     near = pairs.groupBy(F.col("a").alias("w")).agg(pack("b").alias("r")).join(pairs.groupBy(F.col("b").alias("w")).agg(pack("a").alias("l")), "w", "full")
     group, matrix = exchange(materialize(near, "near"), group, classes, rounds)
-    return replace(model, group=group, pairs=matrix)
+    model = replace(model, group=group, pairs=matrix)
+    rest = slim.mapInArrow(_contexts(model), "key long, beside short")
+    rest = rest.repartition("key").sortWithinPartitions("key").mapInArrow(_classes(model, min_count), "key long, class short, n long")
+    rest = materialize(rest, "types")
+    weight = np.zeros(classes + 1)
+    for r in rest.groupBy("class").agg(F.sum(F.col("n") + 0.5).alias("w")).collect():
+        weight[r["class"]] = r.w
+    count = count.copy()
+    for r in loose:
+        count[1 + r.k], distinct[r.k] = r.n, r.d
+    model = replace(model, count=count, distinct=distinct, rest=rest, rest_weight=weight)
+    encoded = materialize(encode(docs, model, part_bytes), "encoded")
+    return replace(model, pairs=_sequence_pairs(encoded, classes), encoded=encoded)
+
+
+def _contexts(model: Model):
+    """A row for each token of no core type: its word, and the classes beside it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            w = words(b.column("text"))
+            seq, _ = sequence(w, model)
+            c, at = model.group[seq], np.flatnonzero(seq != EDGE)
+            i = np.flatnonzero(seq[at] < FIRST)
+            yield pa.record_batch({"key": pa.array(keys_of(w)[i]), "beside": pa.array((c[at[i] - 1] << 8 | c[at[i] + 1]).astype(np.int16))})
+
+    return run
 
-def log_probs(texts: pa.Array, model: Model, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each text and the log probability of its words and its end."""
-    w = words(texts)
-    n = np.diff(w.bounds)
-    seq, doc = sequence(w, model)
-    if not len(seq):
-        return n, np.zeros(len(n))
-    move, emit = tables
-    c = model.group[seq]
-    p = move[c[:-1], c[1:]] + emit[seq[1:]]
-    p[doc[1:] != doc[:-1]] = 0
-    return n, np.bincount(doc[1:], p, len(n))
 
+def _classes(model: Model, min_count: int):
+    """Rows of contexts sorted by word to the types among the words and their classes."""
+    k = model.classes + 1
+    n = model.pairs + 0.5
+    after, before = np.log(n / n.sum(1, keepdims=True))[:-1], np.log(n / n.sum(0))[:, :-1]
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_words, log_prob, perplexity) of every row."""
+    def settle(key: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        ok = left.sum(1) >= min_count
+        key, left, right = key[ok], left[ok], right[ok]
+        best = (right @ after.T + left @ before).argmax(1) if len(key) else np.zeros(0)
+        return pa.record_batch({"key": pa.array(key), "class": pa.array(best.astype(np.int16)), "n": pa.array(left.sum(1).astype(np.int64))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, open_left, open_right = np.zeros(0, np.int64), np.zeros((0, k)), np.zeros((0, k))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, at = np.unique(b.column("key").to_numpy(), return_inverse=True)
+            beside = b.column("beside").to_numpy().astype(np.int64)
+            left = np.bincount(at * k + (beside >> 8), minlength=len(key) * k).reshape(-1, k).astype(np.float64)
+            right = np.bincount(at * k + (beside & 255), minlength=len(key) * k).reshape(-1, k).astype(np.float64)
+            if len(open_key) and open_key[0] == key[0]:
+                left[0] += open_left[0]
+                right[0] += open_right[0]
+            elif len(open_key):
+                yield settle(open_key, open_left, open_right)
+            yield settle(key[:-1], left[:-1], right[:-1])
+            open_key, open_left, open_right = key[-1:], left[-1:], right[-1:]
+        yield settle(open_key, open_left, open_right)
+
+    return run
+
+
+def keys_of(w: Words) -> np.ndarray:
+    """Word hashes; the shape takes the place of the last four bits."""
+    return ((w.hash & U(2**64 - 16)) | kinds(w).astype(np.uint64)).view(np.int64)
+
+
+def encode(docs: DataFrame, model: Model, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(doc_id, n_words, emit, classes) of every row: log probability of the words in their
+    classes, and the class of each word, a byte each."""
+    core, total = model.slim(), model.weights()
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # rows that repeat lie in many blocks of files, which parts them
+    part = F.pmod(F.xxhash64("doc_id", "text", F.input_file_name(), F.input_file_block_start()), F.lit(max(1, math.ceil(size / part_bytes))))
+    slim = docs.select("doc_id", "text", part.alias("part"))
+    answers = slim.select("part", "text").mapInArrow(_unknown(core), "part long, key long").distinct()
+    if model.rest is not None:
+        answers = answers.join(model.rest, "key").select("part", "key", "class", "n")
+    else:
+        answers = answers.where("false").withColumns({"class": F.lit(0).cast("short"), "n": F.lit(0).cast("long")})
+    emit = model.emissions()
+
+    def run(_, texts: pa.Table, known: pa.Table) -> pa.Table:
+        key = known.column("key").to_numpy()
+        o = np.argsort(key)
+        key, cls = key[o], known.column("class").to_numpy()[o].astype(np.int64)
+        log = np.log((known.column("n").to_numpy()[o] + 0.5) / total[cls])
+        out = []
+        for b in slices(iter(texts.select(["doc_id", "text"]).to_batches()), "text"):
+            w = words(b.column("text"))
+            kind = core.types(w)
+            c, e = core.group[kind], emit[kind]
+            i = np.flatnonzero(kind < FIRST)
+            if len(i) and len(key):
+                mine = keys_of(w)[i]
+                at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+                ok = key[at] == mine
+                c[i[ok]], e[i[ok]] = cls[at[ok]], log[at[ok]]
+            n = np.diff(w.bounds)
+            binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(w.bounds.astype(np.int32)), pa.py_buffer(c.astype(np.uint8))])
+            out.append(pa.record_batch({"doc_id": b.column("doc_id"), "n_words": pa.array(n.astype(np.int64)), "emit": pa.array(np.bincount(w.doc, e, len(n))), "classes": binary}))
+        return pa.Table.from_batches(out, _ENCODED)
+
+    return slim.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, "doc_id long, n_words long, emit double, classes binary")
+
+
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("emit", pa.float64()), ("classes", pa.binary())])
+
+
+def _unknown(model: Model):
+    """Words of no core type, by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = model.log_tables()
         for b in slices(batches, "text"):
-            n, p = log_probs(b.column("text"), model, tables)
-            none = n == 0
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_words": pa.array(n.astype(np.int64)), "log_prob": pa.array(p, mask=none), "perplexity": pa.array(np.exp(-p / (n + 1)), mask=none)})
+            w = words(b.column("text"))
+            i = np.flatnonzero(model.types(w) < FIRST)
+            x = np.stack([b.column("part").to_numpy()[w.doc[i]], keys_of(w)[i]], 1)
+            x = x[np.lexsort((x[:, 1], x[:, 0]))]
+            x = x[np.concatenate([[True], (x[1:] != x[:-1]).any(1)])] if len(x) else x
+            yield pa.record_batch({"part": pa.array(x[:, 0]), "key": pa.array(x[:, 1])})
+
+    return run
+
+
+def _with_edges(classes: pa.Array, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all texts with words, an edge before and after each, and their rows."""
+    off = np.frombuffer(classes.buffers()[1], np.int32)[classes.offset : classes.offset + len(classes) + 1].astype(np.int64)
+    data = classes.buffers()[2]
+    c = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    off = off - off[0]
+    row = np.repeat(np.arange(len(classes)), np.diff(off))
+    full = np.flatnonzero(np.diff(off))
+    place = np.zeros(len(classes), np.int64)
+    place[full] = 2 * np.arange(len(full))
+    out, rows = np.full(len(c) + 2 * len(full), edge, np.int64), np.zeros(len(c) + 2 * len(full), np.int64)
+    at = np.arange(len(c)) + place[row] + 1
+    out[at], rows[at] = c, row
+    rows[off[full] + place[full]], rows[off[full + 1] + place[full] + 1] = full, full
+    return out, rows
+
+
+def _sequence_pairs(encoded: DataFrame, classes: int) -> np.ndarray:
+    k = classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                c, row = _with_edges(b.column("classes").slice(lo, 512), classes)
+                inside = row[1:] == row[:-1]
+                total += np.bincount((c[:-1] * k + c[1:])[inside], minlength=k * k)
+        i = np.flatnonzero(total)
+        yield pa.record_batch({"at": pa.array(i), "n": pa.array(total[i])})
+
+    t = encoded.select("classes").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(k * k, np.int64)
+    out[t.column("at").to_numpy()] = t.column("n").to_numpy()
+    return out.reshape(k, k)
+
+
+def score_encoded(encoded: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, n_words, log_prob, perplexity) of every row of ``encode``."""
+    move, edge = model.moves(), model.classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, big.num_rows, 512):
+                b = big.slice(lo, 512)
+                c, row = _with_edges(b.column("classes"), edge)
+                inside = row[1:] == row[:-1]
+                n = b.column("n_words").to_numpy()
+                p = np.bincount(row[1:][inside], move[c[:-1], c[1:]][inside], b.num_rows) + b.column("emit").to_numpy()
+                none = n == 0
+                yield pa.record_batch({"doc_id": b.column("doc_id"), "n_words": b.column("n_words"), "log_prob": pa.array(p, mask=none), "perplexity": pa.array(np.exp(-p / (n + 1)), mask=none)})
+
+    return encoded.mapInArrow(run, SCORE)
+
+
+def score(docs: DataFrame, model: Model, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(doc_id, n_words, log_prob, perplexity) of every row; the model may be of other documents."""
+    return score_encoded(encode(docs, model, part_bytes), model)
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCORE)
+def train_and_score(docs: DataFrame, **options) -> DataFrame:
+    """Scores of the documents by a model of them."""
+    model = train(docs, **options)
+    return score_encoded(model.encoded, model) if model.encoded is not None else score(docs, model)

@@ -51,8 +51,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgrid.llm import brown_lm
 
-    docs = table(spark, sf_dir, "documents")
-    return brown_lm.score(docs, brown_lm.train(docs))
+    return brown_lm.train_and_score(table(spark, sf_dir, "documents"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
