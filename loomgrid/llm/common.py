@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def clear_names(columns: list[str], taken: tuple[str, ...]) -> list[str]:
+    """The columns, renamed ``orig_...`` where they clash with the taken names in any case."""
+    out: list[str] = []
+    for c in columns:
+        name = c
+        while name.lower() in taken or (name != c and name.lower() in {x.lower() for x in [*columns, *out]}):
+            name = f"orig_{name}"
+        out.append(name)
+    return out
+
+
 def row_key(*cols: str) -> Column:
     """64-bit identity of a row by the named columns; a null differs from an empty text."""
     parts = [x for c in cols for x in (F.col(c), F.col(c).isNull())]
@@ -66,10 +78,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 <
         if b.num_rows == 0:
             continue
         arr = b.column(b.schema.get_field_index(column))
-        ends = arr.buffers()[1]
-        import numpy as np
-
-        off = np.frombuffer(ends, np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
+        kind = np.int64 if pa.types.is_large_string(arr.type) else np.int32
+        off = np.frombuffer(arr.buffers()[1], kind)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
         lo = 0
         while lo < b.num_rows:
             hi = int(np.searchsorted(off, off[lo] + most_bytes, "right")) - 1

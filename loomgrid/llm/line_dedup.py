@@ -122,7 +122,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     twice = materialize(twice.select("key", F.col("lead.rid").alias("lead_rid"), F.col("lead.at").alias("lead_at")), "twice")
     keys = twice.count()
     places = materialize(sized_join(found.select("key", "rid", "at"), twice.select("key"), "key", "left_semi", keys, 16).groupBy("rid").agg(F.collect_set("at").alias("at")), "places")
-    rows = sized_join(slim.select("rid", "text"), places, "rid", "inner", places.count(), 120)
+    n, width = places.agg(F.count("*"), F.coalesce(F.avg(F.size("at")), F.lit(0.0))).first()
+    rows = sized_join(slim.select("rid", "text"), places, "rid", "inner", n, int(8 * width) + 80)
     bodies = materialize(rows.mapInArrow(_read_chunks, "key long, rid long, at int, body binary"), "bodies").distinct()
     leads = twice.withColumnsRenamed({"lead_rid": "rid", "lead_at": "at"})
     leads = sized_join(bodies, leads, ["key", "rid", "at"], "left_semi", keys, 32).select("key", F.col("body").alias("lead_body"), F.col("rid").alias("lead_rid"), F.col("at").alias("lead_at"))
@@ -162,5 +163,6 @@ def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
     rid, name = free_name(docs, "__rid"), free_name(docs, "removed")
     gone = materialize(repeated_chunks(docs).groupBy(F.col("rid").alias(rid)).agg(F.collect_set("at").alias(name)), "gone")
     keyed = docs.withColumn(rid, row_key("doc_id", "text"))
-    rows = sized_join(keyed, gone, rid, "left", gone.count(), 120).select(*[F.col(f"`{c}`") for c in docs.columns], name)
+    n, width = gone.agg(F.count("*"), F.coalesce(F.avg(F.size(name)), F.lit(0.0))).first()
+    rows = sized_join(keyed, gone, rid, "left", n, int(8 * width) + 80).select(*[F.col(f"`{c}`") for c in docs.columns], name)
     return rows.mapInArrow(_rewrite, StructType([*docs.schema.fields, StructField(name, LongType())]))

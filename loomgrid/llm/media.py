@@ -11,7 +11,8 @@ One pass over the rows; containers are neither shuffled nor copied.
 Cases: null content gives one row without track and with ``error`` "null", empty content
 one with "empty"; content without a movie box "no moov". A box that is cut short or larger
 than its parent ends the walk of that parent: what was read before is reported, with the
-place in ``error``. Tables that contradict each other are read as far as they agree, and
+place in ``error``, as are tables with fewer rows than they say. Times are decoding times, in
+the order of the samples; edit lists are not applied. Ids are of type long. Tables that contradict each other are read as far as they agree, and
 ``error`` says so. Repeated rows are reported each. The result has its own columns, so
 others can't clash. Unknown boxes are skipped. An empty table gives no rows.
 """
@@ -52,6 +53,7 @@ class Movie:
     tracks: list[Track] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
     found: bool = False
+    next_data: int = 0  #: end of the samples of the fragment's last traf
 
 
 def boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int, int]]:
@@ -77,9 +79,16 @@ def boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int, int
         at += size
 
 
-def _table(data: bytes, at: int, end: int, width: int, kind: str = ">u4") -> np.ndarray:
-    """Rows of a counted table, as many as there are if the count says more."""
-    n = min(struct.unpack_from(">I", data, at)[0], (end - at - 4) // (width * np.dtype(kind).itemsize))
+#: a table of equal samples that claims more is cut, and reported
+MOST_SAMPLES = 50_000_000
+
+
+def _table(data: bytes, at: int, end: int, width: int, movie: Movie, kind: str = ">u4") -> np.ndarray:
+    """Rows of a counted table; as many as there are, and an error, if the count says more."""
+    said, there = struct.unpack_from(">I", data, at)[0], max(0, end - at - 4) // (width * np.dtype(kind).itemsize)
+    n = min(said, there)
+    if said > there:
+        movie.errors.append(f"table at {at} has {there} of {said} rows")
     return np.frombuffer(data, kind, n * width, at + 4).astype(np.int64).reshape(n, width)
 
 
@@ -107,14 +116,16 @@ def _leaf(data: bytes, kind: bytes, at: int, end: int, movie: Movie, track: Trac
         if struct.unpack_from(">I", data, at + 4)[0]:
             track.codec = data[at + 12 : at + 16].decode("latin-1")
     elif kind in (b"stts", b"stsc"):
-        track.tables[kind] = _table(data, at + 4, end, 2 if kind == b"stts" else 3)
+        track.tables[kind] = _table(data, at + 4, end, 2 if kind == b"stts" else 3, movie)
     elif kind in (b"stss", b"stco"):
-        track.tables[kind] = _table(data, at + 4, end, 1)[:, 0]
+        track.tables[kind] = _table(data, at + 4, end, 1, movie)[:, 0]
     elif kind == b"co64":
-        track.tables[b"stco"] = _table(data, at + 4, end, 1, ">u8")[:, 0]
+        track.tables[b"stco"] = _table(data, at + 4, end, 1, movie, ">u8")[:, 0]
     elif kind == b"stsz":
         track.size, n = struct.unpack_from(">II", data, at + 4)
-        track.tables[b"stsz"] = np.full(min(n, len(data)), track.size, np.int64) if track.size else _table(data, at + 8, end, 1)[:, 0]
+        if track.size and n > MOST_SAMPLES:
+            movie.errors.append(f"table at {at} claims {n} samples")
+        track.tables[b"stsz"] = np.full(min(n, MOST_SAMPLES), track.size, np.int64) if track.size else _table(data, at + 8, end, 1, movie)[:, 0]
     elif kind == b"stz2":
         bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
         raw = np.frombuffer(data, np.uint8, end - at - 12, at + 12)
@@ -122,13 +133,16 @@ def _leaf(data: bytes, kind: bytes, at: int, end: int, movie: Movie, track: Trac
             raw = raw[: len(raw) // 2 * 2].view(">u2")
         elif bits == 4:
             raw = np.stack([raw >> 4, raw & 15], 1).ravel()
+        if len(raw) < n:
+            movie.errors.append(f"table at {at} has {len(raw)} of {n} rows")
         track.tables[b"stsz"] = raw[:n].astype(np.int64)
 
 
-def _fragment(data: bytes, base: int, at: int, end: int, movie: Movie) -> None:
-    """One traf box: its runs of samples go to their track."""
-    track, defaults, offset = None, (0, 0, 0), base
-    origin = base
+def _fragment(data: bytes, moof: int, at: int, end: int, movie: Movie) -> None:
+    """One traf box: its runs of samples go to their track. Without a base they follow the data
+    of the traf before, or count from the moof box if they are the first or a flag says so."""
+    track, defaults = None, (0, 0, 0)
+    origin = offset = movie.next_data or moof
     for kind, _, a, b in boxes(data, at, end):
         if kind == b"tfhd":
             flags, ident = struct.unpack_from(">II", data, a)
@@ -137,6 +151,8 @@ def _fragment(data: bytes, base: int, at: int, end: int, movie: Movie) -> None:
                 movie.errors.append(f"fragment of unknown track {ident}")
                 return
             defaults, p = list(track.defaults), a + 8
+            if flags & 0x20000:
+                origin = offset = moof
             if flags & 1:
                 origin = offset = struct.unpack_from(">Q", data, p)[0]
                 p += 8
@@ -156,9 +172,10 @@ def _fragment(data: bytes, base: int, at: int, end: int, movie: Movie) -> None:
                 p += 4
             have = [bool(flags & x) for x in (0x100, 0x200, 0x400, 0x800)]
             width = sum(have)
-            if width:
-                n = min(n, (b - p) // (4 * width))
-            n = min(n, len(data))
+            most = max(0, b - p) // (4 * width) if width else MOST_SAMPLES
+            if n > most:
+                movie.errors.append(f"run at {a} has {most} of {n} samples")
+                n = most
             cells = np.frombuffer(data, ">u4", n * width, p).astype(np.int64).reshape(n, width)
             col = iter(range(width))
             duration, size, flag = (cells[:, next(col)] if h else np.full(n, x, np.int64) for h, x in zip(have, defaults))
@@ -168,6 +185,7 @@ def _fragment(data: bytes, base: int, at: int, end: int, movie: Movie) -> None:
             ends = offset + np.cumsum(size)
             track.parts.append((duration, ends - size, size, (flag >> 16) & 1 == 0))
             offset = int(ends[-1]) if n else offset
+            movie.next_data = offset
 
 
 def _walk(data: bytes, at: int, end: int, movie: Movie, track: Track | None, moof: int = 0) -> None:
@@ -182,6 +200,8 @@ def _walk(data: bytes, at: int, end: int, movie: Movie, track: Track | None, moo
                 _fragment(data, moof, a, b, movie)
             elif kind in _NESTED:
                 movie.found |= kind == b"moov"
+                if kind == b"moof":
+                    movie.next_data = 0
                 _walk(data, a, b, movie, track, start)
             else:
                 _leaf(data, kind, a, b, movie, track)

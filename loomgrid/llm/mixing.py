@@ -14,6 +14,7 @@ source. Selection is a map-side comparison with the cut-offs; texts are never sh
 Cases: a document without pools (null members) is never taken. Null or empty texts hold
 no tokens and are taken with the position they fall on. Rows with equal id hash move
 together. Weights of pools that hold nothing are left short. An empty table gives none.
+Columns that clash with ``pool`` or ``copy``, in any case, are renamed ``orig_...``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import BROADCAST_BYTES, materialize, row_key
+from loomgrid.llm.common import BROADCAST_BYTES, clear_names, materialize, row_key
 
 EPOCHS = 4
 SEED = 31
@@ -213,7 +214,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     spark = docs.sparkSession
     names = docs.columns
     tag = "__mix"
-    while any(c.startswith(tag) for c in names):
+    while any(c.lower().startswith(tag) for c in names):
         tag += "_"
     keyed = docs.withColumns({f"{tag}p": F.array_join(pools, "\x1f"), f"{tag}h": order_hash(seed)})
     want = spark.createDataFrame(todo, f"{tag}p string, pool string, copy int, {tag}lo long, {tag}hi long")
@@ -224,5 +225,5 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
         f"{tag}x",
         F.explode(F.filter(f"{tag}w", lambda x: (x[f"{tag}lo"].isNull() | (F.col(f"{tag}h") >= x[f"{tag}lo"])) & (x[f"{tag}hi"].isNull() | (F.col(f"{tag}h") < x[f"{tag}hi"])))),
     )
-    keep = [F.col(f"`{c}`").alias(f"orig_{c}" if c in ("pool", "copy") else c) for c in names]
+    keep = [F.col(f"`{c}`").alias(new) for c, new in zip(names, clear_names(names, ("pool", "copy")))]
     return hit.select(*keep, F.col(f"{tag}x.pool").alias("pool"), F.col(f"{tag}x.copy").alias("copy"))

@@ -91,8 +91,16 @@ def _rows(key: np.ndarray, check: np.ndarray, rid: np.ndarray, value: np.ndarray
     return pa.record_batch({k: pa.array(v) for k, v in cols.items()})
 
 
-def _mark(at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return (at << 24) | np.minimum(n, (1 << 24) - 1)
+#: the most words of a mark; a longer run has several
+MOST_MARK = (1 << 24) - 1
+
+
+def _marks(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of spans of words, and the span of each."""
+    pieces = -(-n // MOST_MARK)
+    which = np.repeat(np.arange(len(at)), pieces)
+    k = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return (at[which] + k * MOST_MARK) << 24 | np.minimum(n[which] - k * MOST_MARK, MOST_MARK), which
 
 
 def _symbols(rounds: int):
@@ -105,47 +113,44 @@ def _symbols(rounds: int):
             end = np.minimum(end, w.bounds[doc + 1])
             n, at = end - at, at - w.bounds[doc]
             i = np.flatnonzero(n >= LEAST)
+            mark, which = _marks(at[i], n[i])
+            i = i[which]
             rid = b.column("rid").to_numpy()[doc[i]]
-            yield _rows(sym[i].view(np.int64), np.zeros(len(i), np.int64), rid, _mark(at[i], n[i]))
+            yield _rows(sym[i].view(np.int64), np.zeros(len(i), np.int64), rid, mark)
             if len(run_at):
-                rid = b.column("rid").to_numpy()[w.doc[run_at]]
-                mark = _mark(run_at - w.bounds[w.doc[run_at]], run_end - run_at)
+                mark, which = _marks(run_at - w.bounds[w.doc[run_at]], run_end - run_at)
+                rid = b.column("rid").to_numpy()[w.doc[run_at[which]]]
                 yield pa.record_batch({"to": pa.array(rid), "key": pa.array(rid), "check": pa.array(np.zeros(len(rid), np.int32)), "rid": pa.array(rid), "value": pa.array(mark), "state": pa.array(np.full(len(rid), 2, np.int8))})
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by all of ROW but its state to (rid, value, first) of those that repeat."""
-    held: list[np.ndarray] = []
-
-    def settle(x: np.ndarray) -> pa.RecordBatch:
+    """Rows sorted by all of ROW but its state to (rid, value, first) of those that repeat. Of a
+    key that goes on in the next batch only the first row is held."""
+    head, known = np.zeros((0, 5), np.int64), False  # the open key's first row, and whether it was given out
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("key", "check", "rid", "value", "state")], 1)
         done = x[:, 4] == 2
         out = [np.stack([x[done, 2], x[done, 3], np.zeros(int(done.sum()), np.int64)], 1)]
-        y = x[~done]
+        y = np.concatenate([head, x[~done]])
         if len(y):
             new = np.concatenate([[True], (y[1:, :2] != y[:-1, :2]).any(1)])
             same = np.concatenate([[False], (y[1:, 2:4] == y[:-1, 2:4]).all(1)]) & ~new
             group = np.cumsum(new) - 1
-            hit = ((np.bincount(group, ~same) > 1) | (np.bincount(group, y[:, 4] == 1) > 0))[group]
-            head = np.flatnonzero(new)[group]
-            first = (y[:, 2:4] == y[head, 2:4]).all(1)
-            out.append(np.stack([y[hit, 2], y[hit, 3], first[hit].astype(np.int64)], 1))
+            hit = (np.bincount(group, ~same) > 1) | (np.bincount(group, y[:, 4] == 1) > 0)
+            hit[0] |= known
+            at = np.flatnonzero(new)
+            first = (y[:, 2:4] == y[at[group], 2:4]).all(1)
+            give = hit[group]
+            if known:
+                give[0] = False
+            out.append(np.stack([y[give, 2], y[give, 3], first[give].astype(np.int64)], 1))
+            head, known = y[at[-1:]], bool(hit[-1])
         z = np.concatenate(out)
-        return pa.record_batch({"rid": pa.array(z[:, 0]), "value": pa.array(z[:, 1]), "first": pa.array(z[:, 2].astype(np.int8))})
-
-    for b in batches:
-        if b.num_rows:
-            x = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("key", "check", "rid", "value", "state")], 1)
-            to = b.column("to").to_numpy()
-            # the last key may go on in the next batch
-            cut = int(np.searchsorted(to, to[-1]))
-            if cut:
-                yield settle(np.concatenate([*held, x[:cut]]))
-                held = []
-            held.append(x[cut:])
-    if held:
-        yield settle(np.concatenate(held))
+        yield pa.record_batch({"rid": pa.array(z[:, 0]), "value": pa.array(z[:, 1]), "first": pa.array(z[:, 2].astype(np.int8))})
 
 
 def find_repeated(rows: DataFrame) -> DataFrame:
@@ -267,7 +272,8 @@ def report_repeats(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, repeats, dropped) of every row of the documents that hold a repeat."""
     found = materialize(repeats(docs, **options), "repeats")
     keyed = docs.select("doc_id", row_key("doc_id", "text").alias("rid"))
-    return sized_join(keyed, found, "rid", "inner", found.count(), 80).select("doc_id", "repeats", "dropped")
+    n, width = found.agg(F.count("*"), F.coalesce(F.avg(F.size("repeats") + F.size("dropped")), F.lit(0.0))).first()
+    return sized_join(keyed, found, "rid", "inner", n, int(24 * width) + 80).select("doc_id", "repeats", "dropped")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,5 +314,6 @@ def drop_repeats(docs: DataFrame, **options) -> DataFrame:
     found = repeats(docs, **options).where("size(dropped) > 0").select(F.col("rid").alias(rid), F.col("dropped").alias(cut))
     found = materialize(found, "repeats")
     keyed = docs.withColumn(rid, row_key("doc_id", "text"))
-    rows = sized_join(keyed, found, rid, "left", found.count(), 80).select(*[F.col(f"`{c}`") for c in docs.columns], cut)
+    n, width = found.agg(F.count("*"), F.coalesce(F.avg(F.size(cut)), F.lit(0.0))).first()
+    rows = sized_join(keyed, found, rid, "left", n, int(24 * width) + 80).select(*[F.col(f"`{c}`") for c in docs.columns], cut)
     return rows.mapInArrow(_cut, StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in docs.schema.fields]))

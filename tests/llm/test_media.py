@@ -73,3 +73,27 @@ def test_table(spark):
     got = sorted((r.id, r.n_samples or 0, r.error or "") for r in M.media_tracks(M.containers(df, "id", "html")).collect())
     assert got == [(1, 5, ""), (1, 5, ""), (2, 0, ""), (3, 0, "null")]
     assert M.media_tracks(M.containers(df.limit(0), "id", "html")).count() == 0
+
+
+def test_short_tables_are_reported():
+    data = M.mux(bytes(50_000), 1000)
+    i = data.index(b"stsz")
+    assert M.probe(data[: i + 12] + u32(60) + data[i + 16 :])[0]["error"] is not None
+    even = data[: i + 8] + u32(1000, 1_000_000) + data[i + 16 :]
+    (r,) = M.probe(even)
+    assert r["error"] and "without a place" in r["error"]
+    trak = M.box(b"trak", M.box(b"tkhd", u32(0, 0, 0, 5, 0)), M.box(b"mdia", M.box(b"mdhd", u32(0, 0, 0, 1000, 0))))
+    moov = M.box(b"moov", trak, M.box(b"mvex", M.box(b"trex", u32(0, 5, 1, 40, 7, 0))))
+    (r,) = M.probe(moov + M.box(b"moof", M.box(b"traf", M.box(b"tfhd", u32(0, 5)), M.box(b"trun", u32(0x200, 9, 4, 5)))))
+    assert r["n_samples"] == 2 and "2 of 9" in r["error"]
+
+
+def test_a_fragment_without_base_follows_the_one_before():
+    trak = lambda i: M.box(b"trak", M.box(b"tkhd", u32(0, 0, 0, i, 0)), M.box(b"mdia", M.box(b"mdhd", u32(0, 0, 0, 1000, 0))))
+    trex = lambda i: M.box(b"trex", u32(0, i, 1, 40, 7, 0))
+    moov = M.box(b"moov", trak(1), trak(2), M.box(b"mvex", trex(1), trex(2)))
+    traf = lambda i, flags=0: M.box(b"traf", M.box(b"tfhd", u32(flags, i)), M.box(b"trun", u32(0x200, 2, 10, 20)))
+    a, b = M.probe(moov + M.box(b"moof", traf(1), traf(2)) + bytes(200))
+    assert [k["offset"] - len(moov) for k in a["keyframes"] + b["keyframes"]] == [0, 10, 30, 40]
+    a, b = M.probe(moov + M.box(b"moof", traf(1), traf(2, 0x20000)) + bytes(200))
+    assert [k["offset"] - len(moov) for k in b["keyframes"]] == [0, 10]

@@ -137,3 +137,37 @@ def test_shard_columns_and_empty_tables(spark):
 def test_buckets_follow_the_bytes(spark, size):
     n = S.buckets_for(frame(spark, corpus()), size)
     assert (n > 10) == (size == 4000)
+
+
+def test_clashing_names_in_any_case(spark):
+    df = spark.createDataFrame([(1, "a b", "en", "s", 1, 2, 3)], "doc_id long, text string, lang string, source string, Pool int, orig_pool int, COPY int")
+    out = M.mix(df, budget=1)
+    assert len({c.lower() for c in out.columns}) == len(out.columns) == 9
+    assert out.columns[4:] == ["orig_orig_Pool", "orig_pool", "orig_COPY", "pool", "copy"]
+
+
+def brute_shard(rows, buckets, seed=S.SEED):
+    """Buckets as lists of the (doc_id, text) rows, in their places, by another way."""
+    by = {}
+    for h, h2, row in rows:
+        by.setdefault(h % buckets, []).append((h, h2, row))
+    return {b: [sorted(x, key=lambda r: r[:2])[i][2] for i in S.fisher_yates(len(x), seed * 1_000_003 + b)] for b, x in by.items()}
+
+
+@pytest.mark.parametrize("most_parts", [2, 100])
+def test_same_as_a_loop_over_buckets(spark, monkeypatch, most_parts):
+    """With a third of all rows equal, and with several buckets in a partition."""
+    monkeypatch.setattr(S, "MOST_PARTS", most_parts)
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(400)] + [(7, "hot row")] * 200, "doc_id long, text string").repartition(5)
+    h = [F.xxhash64(F.lit(S.SEED + k), "doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()) for k in (0, 1)]
+    want = brute_shard([(r[0], r[1], (r[2], r[3])) for r in df.select(*h, "doc_id", "text").collect()], 7)
+    got = {}
+    for r in S.shard(df, buckets=7).collect():
+        got.setdefault(r.shard, {})[r.position] = (r.doc_id, r.text)
+    assert {b: [x[i] for i in range(len(x))] for b, x in got.items()} == want
+
+
+def test_nested_columns(spark):
+    df = spark.createDataFrame([(i, [1.0] * 64, {"a": i, "b": 2}, (i, "x")) for i in range(50)], "id int, vec array<double>, m map<string,int>, s struct<a:int,b:string>")
+    assert S.buckets_for(df, 1000) >= 50 * 64 * 8 // 1000
+    assert sorted(r.id for r in S.shard(df, buckets=4).collect()) == list(range(50))

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgrid.llm import substring_dedup as S
@@ -75,3 +77,26 @@ def test_recompression_is_local():
 
 def test_empty_table(spark):
     assert S.report_repeats(frame(spark, [])).count() == 0
+
+
+def test_repeats_are_told_across_batches():
+    """A hot key goes through many batches; what is given out doesn't depend on their size."""
+    g = np.random.default_rng(2)
+    n = 3000
+    key, rid, value = np.where(g.random(n) < 0.5, 5, g.integers(0, 900, n)), g.integers(0, 40, n), g.integers(0, 9, n)
+    parts = np.array_split(np.arange(n), 7)
+    rows = pa.Table.from_batches([S._rows(key[p], np.zeros(len(p), np.int64), rid[p], value[p]) for p in parts]).sort_by([(c, "ascending") for c in ("to", "key", "check", "rid", "value")])
+    want = {}
+    for k, r, v in zip(key.tolist(), rid.tolist(), value.tolist()):
+        want.setdefault(k, set()).add((r, v))
+    want = {(r, v, (r, v) == min(x)) for x in want.values() if len(x) > 1 for r, v in x}
+    for size in (1, 13, 100_000):
+        out = pa.Table.from_batches(list(S._repeated(iter(rows.to_batches(size)))))
+        got = list(zip(out["rid"].to_pylist(), out["value"].to_pylist(), out["first"].to_pylist()))
+        assert {(r, v, bool(f)) for r, v, f in got} == want
+
+
+def test_marks_of_very_long_runs():
+    mark, which = S._marks(np.array([3, 10]), np.array([2 * S.MOST_MARK + 5, 7]))
+    spans = [(int(m >> 24), int(m & S.MOST_MARK)) for m in mark]
+    assert which.tolist() == [0, 0, 0, 1] and spans == [(3, S.MOST_MARK), (3 + S.MOST_MARK, S.MOST_MARK), (3 + 2 * S.MOST_MARK, 5), (10, 7)]
