@@ -395,7 +395,7 @@ def encode(docs: DataFrame, model: Model, part_bytes: int = PART_BYTES) -> DataF
     # rows that repeat lie in many blocks of files, which parts them
     part = F.pmod(F.xxhash64("doc_id", "text", F.input_file_name(), F.input_file_block_start()), F.lit(max(1, math.ceil(size / part_bytes))))
     slim = docs.select("doc_id", "text", part.alias("part"))
-    answers = slim.select("part", "text").mapInArrow(_unknown(core), "part long, key long").distinct()
+    answers = slim.select("part", "text").mapInArrow(_unknown(core), "part long, key long")
     if model.rest is not None:
         answers = answers.join(model.rest, "key").select("part", "key", "class", "n")
     else:
