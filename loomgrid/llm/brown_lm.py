@@ -18,8 +18,8 @@ probabilities of all words sum to one.
 Cost: the core (a bounded number of types), class counts and moves reach the driver. The
 other types stay in a table by word, which grows with the corpus: a row a token of theirs is
 shuffled to class them, and a group of them has less than ``MIN_SHARE`` of the tokens. To
-look them up, documents are hashed to parts of about ``PART_BYTES``; the words of a part are
-joined with the table and the answers meet the part's texts, which are shuffled once.
+look them up, documents are hashed to parts of about ``PART_BYTES``; the answers for the words
+of a part meet its texts, which are shuffled once.
 
 Cases: null and empty texts and those without words have ``n_words`` 0 and null scores; they
 do not count. Repeated rows count and are scored each. Ties go to the least class. Ids are of
@@ -35,7 +35,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import materialize, slices
@@ -321,9 +321,11 @@ def train(docs: DataFrame, classes: int = CLASSES, rounds: int | None = None, mi
     near = pairs.groupBy(F.col("a").alias("w")).agg(pack("b").alias("r")).join(pairs.groupBy(F.col("b").alias("w")).agg(pack("a").alias("l")), "w", "full")
     group, matrix = exchange(materialize(near, "near"), group, classes, rounds)
     model = replace(model, group=group, pairs=matrix)
-    rest = slim.mapInArrow(_contexts(model), "key long, beside short")
-    rest = rest.repartition("key").sortWithinPartitions("key").mapInArrow(_classes(model, min_count), "key long, class short, n long")
-    rest = materialize(rest, "types")
+    parted = docs.select("doc_id", "text", _part(docs, part_bytes).alias("part"))
+    near = parted.select("part", "text").where("text is not null").mapInArrow(_contexts(model), "part long, key long, beside short")
+    near = near.repartition("key").sortWithinPartitions("key", "part").mapInArrow(_classes(model, min_count), "part long, key long, class short, n long, first boolean")
+    answers = materialize(near, "types")
+    rest = answers.where("first").select("key", "class", "n")
     weight = np.zeros(classes + 1)
     for r in rest.groupBy("class").agg(F.sum(F.col("n") + 0.5).alias("w")).collect():
         weight[r["class"]] = r.w
@@ -331,53 +333,72 @@ def train(docs: DataFrame, classes: int = CLASSES, rounds: int | None = None, mi
     for r in loose:
         count[1 + r.k], distinct[r.k] = r.n, r.d
     model = replace(model, count=count, distinct=distinct, rest=rest, rest_weight=weight)
-    encoded = materialize(encode(docs, model, part_bytes), "encoded")
+    encoded = materialize(_encode(parted, answers.select("part", "key", "class", "n"), model), "encoded")
     return replace(model, pairs=_sequence_pairs(encoded, classes), encoded=encoded)
 
 
+def _part(docs: DataFrame, part_bytes: int) -> Column:
+    """Part of a row, by its hash. Rows that repeat lie in many blocks of files, which parts them."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return F.pmod(F.xxhash64("doc_id", "text", F.input_file_name(), F.input_file_block_start()), F.lit(max(1, math.ceil(size / part_bytes))))
+
+
 def _contexts(model: Model):
-    """A row for each token of no core type: its word, and the classes beside it."""
+    """A row for each token of no core type: its part and word, and the classes beside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             w = words(b.column("text"))
-            seq, _ = sequence(w, model)
+            seq, doc = sequence(w, model)
             c, at = model.group[seq], np.flatnonzero(seq != EDGE)
             i = np.flatnonzero(seq[at] < FIRST)
-            yield pa.record_batch({"key": pa.array(keys_of(w)[i]), "beside": pa.array((c[at[i] - 1] << 8 | c[at[i] + 1]).astype(np.int16))})
+            beside = (c[at[i] - 1] << 8 | c[at[i] + 1]).astype(np.int16)
+            yield pa.record_batch({"part": b.column("part").take(pa.array(doc[at[i]])), "key": pa.array(keys_of(w)[i]), "beside": pa.array(beside)})
 
     return run
 
 
 def _classes(model: Model, min_count: int):
-    """Rows of contexts sorted by word to the types among the words and their classes."""
+    """Contexts sorted by word and part to the types among the words, with their classes, a row
+    for each part that has the word."""
     k = model.classes + 1
     n = model.pairs + 0.5
     after, before = np.log(n / n.sum(1, keepdims=True))[:-1], np.log(n / n.sum(0))[:, :-1]
 
-    def settle(key: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-        ok = left.sum(1) >= min_count
-        key, left, right = key[ok], left[ok], right[ok]
+    def settle(key: np.ndarray, left: np.ndarray, right: np.ndarray, owner: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        """``owner`` is the index of the word of each of the parts."""
         best = (right @ after.T + left @ before).argmax(1) if len(key) else np.zeros(0)
-        return pa.record_batch({"key": pa.array(key), "class": pa.array(best.astype(np.int16)), "n": pa.array(left.sum(1).astype(np.int64))})
+        size = left.sum(1)
+        new = np.ones(len(owner), bool)
+        new[1:] = owner[1:] != owner[:-1]
+        i = np.flatnonzero(size[owner] >= min_count)
+        o = owner[i]
+        return pa.record_batch({"part": pa.array(part[i]), "key": pa.array(key[o]), "class": pa.array(best[o].astype(np.int16)), "n": pa.array(size[o].astype(np.int64)), "first": pa.array(new[i])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, open_left, open_right = np.zeros(0, np.int64), np.zeros((0, k)), np.zeros((0, k))
+        none = np.zeros(0, np.int64)
+        open_key, open_left, open_right, open_parts = none, np.zeros((0, k)), np.zeros((0, k)), [none]
         for b in batches:
             if not b.num_rows:
                 continue
             key, at = np.unique(b.column("key").to_numpy(), return_inverse=True)
-            beside = b.column("beside").to_numpy().astype(np.int64)
+            part, beside = b.column("part").to_numpy(), b.column("beside").to_numpy().astype(np.int64)
             left = np.bincount(at * k + (beside >> 8), minlength=len(key) * k).reshape(-1, k).astype(np.float64)
             right = np.bincount(at * k + (beside & 255), minlength=len(key) * k).reshape(-1, k).astype(np.float64)
+            o = np.lexsort((part, at))
+            o = o[np.concatenate([[True], (at[o][1:] != at[o][:-1]) | (part[o][1:] != part[o][:-1])])]
+            owner, part = at[o], part[o]
             if len(open_key) and open_key[0] == key[0]:
                 left[0] += open_left[0]
                 right[0] += open_right[0]
+                mine = np.unique(np.concatenate([*open_parts, part[owner == 0]]))
+                owner, part = np.concatenate([np.zeros(len(mine), np.int64), owner[owner > 0]]), np.concatenate([mine, part[owner > 0]])
             elif len(open_key):
-                yield settle(open_key, open_left, open_right)
-            yield settle(key[:-1], left[:-1], right[:-1])
-            open_key, open_left, open_right = key[-1:], left[-1:], right[-1:]
-        yield settle(open_key, open_left, open_right)
+                yield settle(open_key, open_left, open_right, np.zeros(len(open_parts[0]), np.int64), open_parts[0])
+            last = owner == len(key) - 1
+            yield settle(key[:-1], left[:-1], right[:-1], owner[~last], part[~last])
+            open_key, open_left, open_right, open_parts = key[-1:], left[-1:], right[-1:], [part[last]]
+        yield settle(open_key, open_left, open_right, np.zeros(len(open_parts[0]), np.int64), open_parts[0])
 
     return run
 
@@ -389,17 +410,19 @@ def keys_of(w: Words) -> np.ndarray:
 
 def encode(docs: DataFrame, model: Model, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, n_words, emit, classes) of every row: log probability of the words in their
-    classes, and the class of each word, a byte each."""
-    core, total = model.slim(), model.weights()
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # rows that repeat lie in many blocks of files, which parts them
-    part = F.pmod(F.xxhash64("doc_id", "text", F.input_file_name(), F.input_file_block_start()), F.lit(max(1, math.ceil(size / part_bytes))))
-    slim = docs.select("doc_id", "text", part.alias("part"))
-    answers = slim.select("part", "text").mapInArrow(_unknown(core), "part long, key long")
+    classes, and the class of each word, a byte each. The documents may be new to the model."""
+    parted = docs.select("doc_id", "text", _part(docs, part_bytes).alias("part"))
+    answers = parted.select("part", "text").mapInArrow(_unknown(model.slim()), "part long, key long")
     if model.rest is not None:
         answers = answers.join(model.rest, "key").select("part", "key", "class", "n")
     else:
         answers = answers.where("false").withColumns({"class": F.lit(0).cast("short"), "n": F.lit(0).cast("long")})
+    return _encode(parted, answers, model)
+
+
+def _encode(parted: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
+    """``encode`` of (doc_id, text, part) with the types, beside the core, of each part's words."""
+    core, total = model.slim(), model.weights()
     emit = model.emissions()
 
     def run(_, texts: pa.Table, known: pa.Table) -> pa.Table:
@@ -423,7 +446,7 @@ def encode(docs: DataFrame, model: Model, part_bytes: int = PART_BYTES) -> DataF
             out.append(pa.record_batch({"doc_id": b.column("doc_id"), "n_words": pa.array(n.astype(np.int64)), "emit": pa.array(np.bincount(w.doc, e, len(n))), "classes": binary}))
         return pa.Table.from_batches(out, _ENCODED)
 
-    return slim.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, "doc_id long, n_words long, emit double, classes binary")
+    return parted.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, "doc_id long, n_words long, emit double, classes binary")
 
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("emit", pa.float64()), ("classes", pa.binary())])
