@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions.coerce import strip
 from loomgrid.ids import hash_column, name_part, reference_candidates, unique_references
-from loomgrid.operators.validate import rows_of
-from loomgrid.tables import PARENT, col, empty, settle
+from loomgrid.operators.validate import owner_rows, rows_of
+from loomgrid.tables import KEYS, PARENT, col, empty, settle
 
 Tables = dict[str, DataFrame]
 Rows = dict[str, dict]
@@ -86,7 +86,9 @@ def resolve_references(tables: Tables, fields: dict[str, list[str]]) -> Tables:
             if name not in df.columns:
                 continue
             found = unique_references(df.select(col(name).cast("string").alias("ref")), tables["entity_id"]).select(F.col("ref").alias("__ref"), F.col("entity_id").alias("__eid"))
-            joined = df.join(found, col(name).cast("string") == F.col("__ref"), "left")
+            # rows without a text get keys that nothing has, else one task would hold them all
+            spread = F.concat(F.lit("\0"), F.xxhash64(*[col(c) for c in ([c for c in KEYS if c in df.columns] or df.columns)]).cast("string"))
+            joined = df.join(found, F.coalesce(col(name).cast("string"), spread) == F.col("__ref"), "left")
             kept = [c for c in df.columns if c != f"{name}_eid"]
             df = joined.select(*[col(c) for c in kept], F.col("__eid").alias(f"{name}_eid"))
         if df is not None:
@@ -165,7 +167,7 @@ def inherited_fields(fields: list[dict], parents: list[dict]) -> list[dict]:
     return out
 
 
-def inherit_by_joins(field: DataFrame, parent: DataFrame, most_depth: int = 64) -> DataFrame:
+def inherit_by_joins(field: DataFrame, parent: DataFrame) -> DataFrame:
     """``inherited_fields`` as joins, for graphs that don't fit the driver.
 
     A round joins each entity's frontier with the parents and keeps the first way (by depth,
@@ -177,15 +179,13 @@ def inherit_by_joins(field: DataFrame, parent: DataFrame, most_depth: int = 64)
     nodes = field.select("entity_id").union(edges.select("entity_id")).union(edges.select("parent_eid")).distinct()
     known = settle(nodes.select("entity_id", F.col("entity_id").alias("ancestor"), F.array().cast("array<int>").alias("way")))
     front = known
-    for _ in range(most_depth):
+    while True:
         step = front.join(edges.select(F.col("entity_id").alias("ancestor"), F.col("parent_eid").alias("next"), "o"), "ancestor")
         step = step.groupBy("entity_id", F.col("next").alias("ancestor")).agg(F.min(F.concat("way", F.array("o"))).alias("way"))
         front = settle(step.join(known.select("entity_id", "ancestor"), ["entity_id", "ancestor"], "left_anti"))
         if front.isEmpty():
             break
         known = settle(known.unionByName(front))
-    else:
-        raise ValueError(f"parents are nested more than {most_depth} deep")
     rows = field.where("value is not null and value <> ''").withColumnRenamed("entity_id", "ancestor")
     found = known.join(rows, "ancestor")
     near = Window.partitionBy("entity_id", "value").orderBy(F.size("way"), "way", F.col("component_index").desc())
@@ -246,13 +246,14 @@ def derive(tables: Tables, load_time: Any = None, existing: Tables | None = None
     """All derivations in order; references resolve before fields are inherited, so inherited
     reference fields aren't resolved."""
     tables = resolve_same_as(tables, existing)
-    spine, fields = rows_of(tables["entity_id"]), rows_of(tables.get("field"))
+    fields, spine = rows_of(tables.get("field")), owner_rows(tables["entity_id"], tables.get("field"))
     tables = resolve_references(tables, reference_fields(fields, spine))
     tables["parent"] = settle(all_parents(tables["entity_id"], tables.get("parent")))
     tables = strip_descriptions(tables, reference_fields(fields, spine, "description"))
     tables = inherit_fields(tables)
     if load_time is not None:
         skip = ("parent", "component_type", "entity_id", "field")
+        spine = owner_rows(tables["entity_id"], tables.get("field"))
         times = {**{k: v for k, v in (existing_times or {}).items() if k not in skip}, **time_fields(rows_of(tables.get("field")), spine)}
         tables = fill_time(tables, load_time, times)
     return tables

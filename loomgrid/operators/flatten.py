@@ -141,14 +141,6 @@ def component_metadata(kvs: DataFrame, csv_tables: dict[str, DataFrame] | None =
     return out
 
 
-def pivot(kvs: DataFrame, component_type: str, fields: list[str]) -> DataFrame:
-    """Long to wide: the last value of each field and the first modifier of an instance."""
-    mine = kvs.where(F.col("component_type") == component_type)
-    aggs = [F.min_by("modifier", "ord").alias("modifier")]
-    aggs += [F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("ord"))).alias(f) for f in fields]
-    return mine.groupBy("entity_id", "component_index").agg(*aggs).select(*KEYS, *["`" + f.replace("`", "``") + "`" for f in fields])
-
-
 def component_tables(kvs: DataFrame, csv_tables: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """One wide table a component type; a table from CSV joins that of the same name.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.tables import aligned, col, union_distinct
+from loomgrid.tables import aligned, col, settle, union_distinct
 
 #: Beyond this many new rows the write order is given by ranges, not by one sorted partition.
 ONE_PARTITION_ROWS = 100_000
@@ -21,8 +21,6 @@ def numbered(df: DataFrame, name: str, start: int, order: list[str]) -> DataFram
     keys = [col(c) for c in order] + [F.xxhash64(*[col(c) for c in df.columns])]
     if df.limit(ONE_PARTITION_ROWS + 1).count() <= ONE_PARTITION_ROWS:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) + (start - 1)).cast("bigint"))
-    from loomgrid.tables import settle
-
     ranged = settle(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"__p": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
     sizes = {r[0]: r[1] for r in ranged.groupBy("__p").count().collect()}
     offsets, at = [], start
@@ -45,7 +43,7 @@ def merge_with_sequence(existing: DataFrame, incoming: DataFrame, name: str) ->
     else:
         a = initial_sequence(a, name)
     top = a.agg(F.max(name)).first()[0] or 0
-    fresh = b.subtract(a.drop(name))
+    fresh = settle(b.subtract(a.drop(name)))
     return a.unionByName(numbered(fresh, name, top + 1, [c for c in ("entity_id", "component_index") if c in b.columns]))
 
 

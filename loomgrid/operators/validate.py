@@ -72,6 +72,21 @@ def coerced(df: DataFrame, schema: dict[str, dict[str, Any]]) -> DataFrame:
     replaced by defaults. No row goes and nothing is shuffled."""
     have = {f.name: f.dataType for f in df.schema.fields}
     out = {}
+    # texts whose arithmetic takes Python, which is found out in one scan for all fields
+    texts = [n for n, s in schema.items() if s["type"] in NUMBERS and isinstance(have.get(n), StringType)]
+    step = "__step"
+    while any(c.startswith(step) for c in have):
+        step += "_"
+    part, easy, text = ({n: f"{step}_{k}{i}" for i, n in enumerate(texts)} for k in "pet")
+    split = df
+    if texts:
+        # step by step, so that no expression is written out, and run, more than once
+        split = df.withColumns({part[n]: coerce.arithmetic_parts(col(n)) for n in texts})
+        split = split.withColumns({easy[n]: coerce.common_arithmetic(col(part[n])) for n in texts})
+        odd = {n: col(part[n]).isNotNull() & col(easy[n]).isNull() for n in texts}
+        hard = split.agg(*[F.max(odd[n]) for n in texts]).first()
+        python = {text[n]: F.when(odd[n], coerce.arithmetic(col(n))).otherwise(col(n)) for n, hit in zip(texts, hard) if hit}
+        split = split.withColumns(python) if python else split
     for name, spec in schema.items():
         kind, default = spec["type"], spec["default"]
         if kind not in ENGINE_TYPES:
@@ -82,9 +97,11 @@ def coerced(df: DataFrame, schema: dict[str, dict[str, Any]]) -> DataFrame:
         value = col(name) if name in have else F.lit(None)
         source = have.get(name, NullType())
         if isinstance(source, StringType) and not isinstance(want, StringType):
-            if kind in NUMBERS and not df.where(coerce.maybe_arithmetic(col(name))).isEmpty():
-                value = F.when(coerce.maybe_arithmetic(value), coerce.arithmetic(value)).otherwise(value)
-            value = {"bool": coerce.try_boolean, "int": coerce.try_long}.get(kind, coerce.try_double)(value)
+            number = kind in NUMBERS
+            value = {"bool": coerce.try_boolean, "int": coerce.try_long}.get(kind, coerce.try_double)(col(text[name]) if number and text[name] in split.columns else value)
+            if number:
+                found = col(easy[name])
+                value = F.when(found.isNotNull(), coerce.rounded(found) if kind == "int" else found).otherwise(value)
         elif isinstance(source, DoubleType) and isinstance(want, LongType):
             value = coerce.round_to_long(value)
         else:
@@ -92,7 +109,7 @@ def coerced(df: DataFrame, schema: dict[str, dict[str, Any]]) -> DataFrame:
         if default is not None and (fill := coerce_default(default, kind)) is not None:
             value = F.coalesce(F.nullif(value, F.lit("")) if kind == "str" else value, F.lit(fill).cast(want))
         out[name] = value
-    return df.withColumns({k: v for k, v in out.items()}) if out else df
+    return split.withColumns(out).drop(*[c for c in split.columns if c not in have]) if out else df
 
 
 def violations(df: DataFrame, kind: str, schema: dict[str, dict[str, Any]]) -> DataFrame | None:
@@ -134,6 +151,15 @@ def rows_of(df: DataFrame | None) -> list[dict]:
     return sorted(out, key=lambda r: (str(r.get("path") or r.get("entity_id") or ""), r.get("component_index") or 0, str(r.get("parent_eid") or "")))
 
 
+def owner_rows(spine: DataFrame | None, *fields: DataFrame | None) -> list[dict]:
+    """The spine's rows of the entities that own a field, on the driver; other entities, of
+    which there may be any number, stay where they are."""
+    owners = [f.select(F.col("entity_id").alias("value")) for f in fields if f is not None]
+    if spine is None or not owners:
+        return []
+    return rows_of(spine.join(reduce(DataFrame.union, owners).distinct(), "value", "left_semi"))
+
+
 def validate(tables: dict[str, DataFrame], existing: dict[str, DataFrame] | None = None, strict_declared: bool = False) -> tuple[dict[str, DataFrame], DataFrame, dict[str, StructType]]:
     """All tables coerced, their violations, and schemas of declared types without data.
 
@@ -142,8 +168,8 @@ def validate(tables: dict[str, DataFrame], existing: dict[str, DataFrame] | None
     """
     spark = next(iter(tables.values())).sparkSession
     existing = existing or {}
-    spine = [*rows_of(existing.get("entity_id")), *rows_of(tables["entity_id"])]
     field = tables.get("field")
+    spine = [*owner_rows(existing.get("entity_id"), existing.get("field"), field), *owner_rows(tables["entity_id"], existing.get("field"), field)]
     old = rows_of(existing.get("field"))
     out, found = dict(tables), []
     if field is not None:

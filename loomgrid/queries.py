@@ -106,12 +106,6 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 _PAIRS = "(" + " union all ".join(f"select c_custkey, 'shop:customer.' || c_custkey || '[0].account of.{f}' as path, {f}::varchar as value, '{f}' as field from customer" for f in ("c_name", "c_nationkey", "c_mktsegment")) + ")"
 
 
-@query("select path, value from " + _PAIRS)
-def q_path_value_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """T1, T3."""
-    return _pairs(spark, sf).select("path", "value")
-
-
 @query(f"select {_ID.format('c_custkey')} as entity_id, c_custkey::varchar as entity_key, 'shop:customer.' || c_custkey as entity_path, 'shop' as filepath, 0::bigint as component_index, 'account' as component_type, 'of' as modifier, 'shop:customer.' || c_custkey || '[0].account of' as spine_path, field, value from {_PAIRS}")
 def q_keyvalue_store(spark: SparkSession, sf: str) -> DataFrame:
     """T5."""
@@ -121,7 +115,7 @@ def q_keyvalue_store(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"select {_ID.format('c_custkey')} as entity_id, 0::bigint as component_index, 'of' as modifier, max(case when field = 'c_name' then value end) as c_name, max(case when field = 'c_nationkey' then value end) as c_nationkey, max(case when field = 'c_mktsegment' then value end) as c_mktsegment from {_PAIRS} group by c_custkey")
 def q_pivot(spark: SparkSession, sf: str) -> DataFrame:
     """T9."""
-    return T.pivot(T.key_value_store(_pairs(spark, sf)), "account", ["c_name", "c_nationkey", "c_mktsegment"])
+    return T.component_tables(T.key_value_store(_pairs(spark, sf)))["account"]
 
 
 @query(f"select {_ID.format('c_custkey')} as entity_id, 0::bigint as component_index, 'account' as component_type, 'of' as modifier, false as derived, true as skip_on_export from customer union all select substr(sha256('shop:account'), 1, 12), 0, 'component_type', null, false, false")
@@ -133,7 +127,7 @@ def q_component_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as component_index from lineitem")
 def q_csv_index(spark: SparkSession, sf: str) -> DataFrame:
-    """The place of a row among its entity's."""
+    """Any table as a component type: the place of a row among its entity's."""
     _, rows = register_table(t(spark, sf, "lineitem"), "line", ["l_orderkey"], "shop", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "component_index")
 
@@ -216,21 +210,21 @@ def q_merge_align(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""with old as (select o_custkey as entity_id, o_orderkey as component_index, o_totalprice, row_number() over (order by o_custkey, o_orderkey) as _seq_at from orders where o_orderstatus = 'F'),
-new as (select o_custkey as entity_id, o_orderkey as component_index, o_totalprice from orders where o_orderstatus in ('F', 'P') except select entity_id, component_index, o_totalprice from old)
+new as (select o_custkey as entity_id, o_orderkey as component_index, o_totalprice from orders except select entity_id, component_index, o_totalprice from old)
 select * from old union all select *, (select coalesce(max(_seq_at), 0) from old) + row_number() over (order by entity_id, component_index) from new""")
 def q_merge_seq(spark: SparkSession, sf: str) -> DataFrame:
     """New rows follow the last number."""
     o = t(spark, sf, "orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("component_index"), "o_totalprice", "o_orderstatus")
     old = M.initial_sequence(o.where("o_orderstatus = 'F'").drop("o_orderstatus"), "_seq_at")
-    return M.merge_with_sequence(old, o.where("o_orderstatus in ('F', 'P')").drop("o_orderstatus"), "_seq_at")
+    return M.merge_with_sequence(old, o.drop("o_orderstatus"), "_seq_at")
 
 
-_SPEC = {"n": {"type": "int", "nullable": True, "default": None, "range": None}, "x": {"type": "float", "nullable": True, "default": None, "range": None}, "b": {"type": "bool", "nullable": True, "default": None, "range": None}}
+_SPEC = {"n": {"type": "int", "nullable": True, "default": None, "range": None}, "x": {"type": "float", "nullable": True, "default": None, "range": None}, "b": {"type": "bool", "nullable": True, "default": None, "range": None}, "more": {"type": "int", "nullable": True, "default": "7", "range": None}}
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, case when l_returnflag = 'A' then null else l_partkey end as n, l_extendedprice as x, case when l_linestatus = 'O' then true else false end as b from lineitem")
+@query("select l_orderkey, l_linenumber, l_partkey, case when l_returnflag = 'A' then null else l_partkey end as n, l_extendedprice as x, case when l_linestatus = 'O' then true else false end as b, 7::bigint as more from lineitem")
 def q_cast_coerce(spark: SparkSession, sf: str) -> DataFrame:
-    """V2, V4: texts to typed columns."""
+    """V2, V4: texts to typed columns, and a declared one that the table lacks."""
     li = t(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "A", "part?").otherwise(F.col("l_partkey").cast("string")).alias("n"),
         F.col("l_extendedprice").cast("string").alias("x"), F.when(F.col("l_linestatus") == "O", "True").otherwise("false").alias("b"),
@@ -284,7 +278,7 @@ def q_violation_union(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select p_brand as component_type, p_type as field, arg_min(p_size, p_partkey)::varchar as \"default\" from part group by p_brand, p_type")
 def q_schema_build(spark: SparkSession, sf: str) -> DataFrame:
-    """V1, V9: the first definition of a field counts."""
+    """V1: the first definition of a field counts."""
     rows = [r.asDict() for r in t(spark, sf, "part").orderBy("p_partkey").select(F.col("p_brand").alias("entity_id"), F.col("p_type").alias("value"), F.col("p_size").cast("string").alias("default")).collect()]
     spine = [{"value": b, "entity_key": b} for b in dict.fromkeys(r["entity_id"] for r in rows)]
     found = build_schemas([r["entity_key"] for r in spine], rows, spine)
@@ -307,7 +301,7 @@ h as (select ref, value, 1 as tier from r join s on ref = value union all select
 b as (select ref, min(tier) as tier from h group by ref)
 select h.ref, min(value) as entity_id from h join b using (ref, tier) group by h.ref having count(*) = 1""")
 def q_entity_ref(spark: SparkSession, sf: str) -> DataFrame:
-    """By id, alias, part of the path, or not at all; ambiguous ones go."""
+    """By id, alias, part of the path, or not at all; ambiguous ones go."""
     s = _nations(spark, sf)
     k = F.col("n_nationkey") % 4
     refs = s.select(F.when(k == 0, F.col("value")).when(k == 1, F.col("alias")).when(k == 2, F.col("entity_key")).otherwise("no such place").alias("ref"))
@@ -360,16 +354,6 @@ def q_inherit_fields(spark: SparkSession, sf: str) -> DataFrame:
     return D.inherit_by_joins(field, parent)
 
 
-@query("select case when s_suppkey > m then 'nation' || s_nationkey else 's' || s_suppkey end as entity_id, s_acctbal from (select *, min(s_suppkey) over (partition by s_nationkey) as m from supplier)")
-def q_same_as(spark: SparkSession, sf: str) -> DataFrame:
-    """All suppliers of a nation but the first move to the nation."""
-    s = t(spark, sf, "supplier")
-    first = s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("m"))
-    owners = s.join(first, "s_nationkey").where("s_suppkey > m").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("owner"), F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("target"))
-    rows = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity_id"), "s_acctbal")
-    return D.rebase(rows, owners, few=False)
-
-
 @query("select doc_id, text as value from documents")
 def q_strip(spark: SparkSession, sf: str) -> DataFrame:
     """White space that is put around the texts comes off."""
@@ -388,7 +372,7 @@ def q_time_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select o_orderkey::varchar as entity_id, 0::bigint as component_index, case when o_orderstatus = 'P' then 'orders' else 'orders of' end as name, case when o_orderstatus = 'F' then '{\"o_custkey\":' || o_custkey || '}' else '{\"o_custkey\":' || o_custkey || ',\"o_orderpriority\":\"' || o_orderpriority || '\"}' end as fields from orders")
 def q_export_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The fields that aren't null, and the modifier in the name."""
+    """The fields that aren't null, and the modifier in the name."""
     o = t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("entity_id"), F.lit(0).cast("bigint").alias("component_index"), F.when(F.col("o_orderstatus") != "P", "of").alias("modifier"), "o_custkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("o_orderpriority"), F.lit("x").alias("o_custkey_eid"))
     return E.export_rows({"orders": o}, o.select(F.col("entity_id").alias("value")), set())
 
@@ -416,7 +400,7 @@ def q_export_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select p.entity_id, p.component_index, p.parent_eid, p.is_primary, 'k' || p.parent_eid as value from {_PARENTS} p join {_CHOSEN} c on p.entity_id = c.entity_id where p.parent_eid <> c.parent_eid")
 def q_non_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
-    """E5, E6."""
+    """E5."""
     parts, ids = _export_parts(spark, sf)
     return E.non_hierarchy_parents(parts, E.entity_hierarchy(parts, ids), ids).select("entity_id", "component_index", "parent_eid", "is_primary", "value")
 
@@ -427,25 +411,6 @@ def q_export_mask(spark: SparkSession, sf: str) -> DataFrame:
     return E.entity_id({"entity_id": t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("value"), F.col("url").alias("filepath"))})
 
 
-@query("select * from (" + " union all ".join(f"select '{n}' as component_type, count(*)::bigint as n from {n}" for n in ("customer", "orders", "lineitem", "events")) + ")")
-def q_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """K4: rows by type."""
-    return spark.createDataFrame([(n, t(spark, sf, n).count()) for n in ("customer", "orders", "lineitem", "events")], "component_type string, n bigint")
-
-
-@query("select distinct event_type as component_type from events except select distinct event_type from events where event_type < 'm'")
-def q_unexpected(spark: SparkSession, sf: str) -> DataFrame:
-    """Types beyond those expected."""
-    e = t(spark, sf, "events").select(F.col("event_type").alias("component_type"))
-    return e.subtract(e.where("component_type < 'm'"))
-
-
-@query("select user_id, max(ts) as at from events group by user_id")
-def q_write_time(spark: SparkSession, sf: str) -> DataFrame:
-    """The last time of each entity."""
-    return t(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("at"))
-
-
 @query("select p_partkey, try_cast(p_size::varchar as bigint) as n, try_cast(p_retailprice::varchar as double) as x, p_size > 20 as b from part")
 def q_try_casts(spark: SparkSession, sf: str) -> DataFrame:
     """V4: casts of text columns one by one."""
@@ -460,16 +425,6 @@ def q_initial_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return M.initial_sequence(o, "_seq_n").withColumnRenamed("entity_id", "o_custkey")
 
 
-@query()
-def q_python_calls(spark: SparkSession, sf: str) -> DataFrame:
-    """Calls of functions in Python texts, one text a region."""
-    from loomgrid.sources.manifest import python_entities
-
-    texts = {f"r{r.r_regionkey}.py": f'def visit():\n    """Goes to {r.r_name}."""\n    pack()\n    self.go({r.r_regionkey})\n    Trip()\n' for r in t(spark, sf, "region").collect()}
-    raw = python_entities(texts)
-    return T.key_value_store(T.path_value_pairs(spark, raw)).where("component_type = 'calls'").drop("ord")
-
-
 @query()
 def q_close_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Names close to an unknown one."""
@@ -481,22 +436,7 @@ def q_close_matches(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, vs in found.items() for v in vs], "name string, match string")
 
 
-@query()
-def q_manifest_load(spark: SparkSession, sf: str) -> DataFrame:
-    """A manifest with an entity a region through the whole flow."""
-    import yaml
-
-    from loomgrid.registrar import Registrar
-
-    schema = {"place": [{"field": {"value": {"type": "str", "range": ["AFRICA", "ASIA"]}, "rank": {"type": "float", "default": "1"}}}, "component_type"]}
-    data = schema | {f"region_{r.r_regionkey}": [{"place": {"value": r.r_name, "rank": f"{r.r_regionkey} / 2"}}] for r in t(spark, sf, "region").collect()}
-    before = spark.conf.get("spark.sql.caseSensitive")
-    try:
-        reg = Registrar(spark=spark)
-        reg.update(yaml_strings={"geo": yaml.safe_dump(data)})
-        return flat(reg.view(["place"]))
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", before)
+from loomgrid import flow_queries  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:

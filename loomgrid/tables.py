@@ -27,6 +27,8 @@ VIOLATION = StructType([
 KEYS = ("entity_id", "component_index", "modifier")
 #: A plan estimated below this is kept as rows on the driver, else as a table in the shared folder.
 LOCAL_BYTES = 4 << 20
+#: The estimate knows nothing of what an explode or a join yields, so rows are counted up to here.
+LOCAL_ROWS = 20_000
 
 
 def quoted(name: str) -> str:
@@ -53,12 +55,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df``: as driver rows if Catalyst estimates few bytes, else as a
-    table in the folder all executors share, so that losing one loses nothing."""
+    """Cut the lineage of ``df``: as driver rows if Catalyst estimates few bytes and there are
+    few rows indeed, else as a table in the folder all executors share, so that losing one
+    loses nothing."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size <= LOCAL_BYTES:
-        return spark.createDataFrame(df.toArrow(), df.schema)
+        rows = df.limit(LOCAL_ROWS + 1).toArrow()
+        if rows.num_rows <= LOCAL_ROWS:
+            return spark.createDataFrame(rows, df.schema)
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
