@@ -8,14 +8,15 @@ the maximum difference of two points' distances over all these references is the
 blocks' differences. If that is beyond the radius so is the distance; survivors are verified
 by their true distance. Verified pairs are joined to groups by connected components.
 
-Pairs meet by two levels of sampled bits. In each of ``outer`` tables a point goes to the cell
-of its first sampled bits, as many as leave some ``CELL`` points in a cell; these are the only
-rows that are shuffled (16 bytes each). A task holds a cell and looks for pairs in ``inner``
-tables of ``INNER_BITS`` further bits, between points that it hasn't connected yet; a cell of
-few points compares all pairs. ``tables_for`` gives the numbers of tables, from the counted
-fingerprints, with which a pair at exactly the radius is found with chance ``RECALL``; a closer
-one is found with more. Bits are sampled without replacement. The tables grow about as the
-third root of the points, which is what this radius costs.
+Every pair of points within the radius is found. Of a pair within ``RADIUS`` bits one of the two
+words of 64 bits differs by 13 at most; and of that word, cut into blocks, one block differs by so
+few bits (3 of 16, say) that only points whose blocks lie in that small ball need be compared. The
+points are dealt to chunks by their hash, and a task takes two chunks (or one with itself), so a
+point is shuffled once a chunk, 16 bytes each. A task looks up the ball of each block in sorted
+keys, compares the word, and verifies what is left. Points that it has connected already are not
+connected again, so it gives fewer edges than it has points, however many near copies there are.
+The pairs that are looked at are a share of all pairs (5 to 25 %, less with more points in a chunk):
+the work grows with the square of the points, by small steps.
 
 Cases: null and empty texts, and texts without any word, belong to no group. Repeated
 rows (same id and text) are copies of each other. Ties go to the least doc_id, nulls
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +39,15 @@ from loomgrid.llm.textkernel import U, hamming, mix, shingles, simhash, words
 
 BLOCKS = 32
 RADIUS = 27
-RECALL = 0.9
-CELL = 1 << 15
-INNER_BITS = 16
-#: A cell of fewer points compares all pairs.
-ALL_PAIRS = 512
-#: Fingerprints that are spread at a time, and pairs that are compared at a time.
+#: Points of a chunk; fewer points still make up to ``LEAST_CHUNKS``, of ``SMALL`` at least.
+CELL = 1 << 18
+LEAST_CHUNKS = 8
+SMALL = 1 << 12
+#: Points that share the bits of a block on average, at least; with fewer, blocks are narrower.
+SHARE = 16
+#: Fingerprints that are spread at a time, pairs of words that are compared at a time.
 AT_ONCE = 1 << 16
+COLUMNS = 1 << 12
 MOST_TASKS = 20_000
 PAIRS = 200_000
 #: Words of which the features are taken at a time.
@@ -53,47 +55,30 @@ FEATURES = 1 << 18
 _NIBBLE = np.bitwise_count(np.arange(16, dtype=np.uint8))
 
 
-@dataclass(frozen=True)
-class Tables:
-    outer_bits: int
-    outer: int
-    inner: int
-    inner_bits: int = INNER_BITS
+def chunks_for(points: int, cell: int = CELL) -> int:
+    """Number of chunks; each two of them make a task, and each with itself."""
+    return max(1, math.ceil(points / cell), min(LEAST_CHUNKS, points // min(SMALL, cell)))
 
-    def chance(self, distance: int) -> float:
-        """With which a pair at this distance is found."""
-        p1, p2 = _same(128, distance, self.outer_bits), _same(128 - self.outer_bits, distance, self.inner_bits)
-        return 1 - (1 - p1 * (1 - (1 - p2) ** self.inner)) ** self.outer
 
+def task_of(i: np.ndarray, j: int, chunks: int) -> np.ndarray:
+    """Number of the task of two chunks, in any order."""
+    return np.minimum(i, j) * chunks + np.maximum(i, j)
 
-def _same(bits: int, distance: int, sampled: int) -> float:
-    """Chance that sampled bits avoid those in which two points differ."""
-    return math.comb(max(0, bits - distance), sampled) / math.comb(bits, sampled)
 
+def share_out(most: int, parts: int) -> list[int]:
+    """Bits by which each part may differ so that of any two points that differ by ``most`` at
+    most, one part differs by no more than its own; -1 for parts that needn't be looked at."""
+    least, more = divmod(most + 1, parts)
+    return [least - 1 + (k < more) for k in range(parts)]
 
-def tables_for(points: int, radius: int = RADIUS, recall: float = RECALL, cell: int = CELL) -> Tables:
-    """Bits and tables that find a pair at exactly ``radius`` with chance ``recall``."""
-    bits = max(0, math.ceil(math.log2(max(points, 1) / cell)))
-    p1, p2 = _same(128, radius, bits), _same(128 - bits, radius, INNER_BITS)
-    outer = 1 if p1 == 1 else math.ceil(math.log(1 - recall) / math.log1p(-0.8 * p1))
-    once = (1 - (1 - recall) ** (1 / outer)) / p1  # chance that a cell has to find its pair with
-    return Tables(bits, outer, math.ceil(math.log(1 - once) / math.log1p(-p2)))
 
-
-def samples(tables: Tables) -> tuple[list[list[int]], list[np.ndarray]]:
-    """Bits of each outer table, and masks (inner, 2) of its inner tables, of other bits."""
-    g = np.random.Generator(np.random.PCG64(17))
-    outer, inner = [], []
-    for _ in range(tables.outer):
-        first = g.choice(128, tables.outer_bits, replace=False)
-        rest = np.setdiff1d(np.arange(128), first)
-        m = np.zeros((tables.inner, 2), np.uint64)
-        for t in range(tables.inner):
-            for b in g.choice(rest, tables.inner_bits, replace=False):
-                m[t, b // 64] |= U(1 << int(b % 64))
-        outer.append([int(b) for b in first])
-        inner.append(m)
-    return outer, inner
+def blocks_for(points: int, most: int) -> list[tuple[int, int, int]]:
+    """(shift, width, bits that may differ) of the blocks of a word; none to compare all pairs."""
+    for n in range(4, 8):
+        if points >> math.ceil(64 / n) >= SHARE:
+            widths = [64 // n + (k < 64 % n) for k in range(n)]
+            return [(sum(widths[:k]), w, r) for k, (w, r) in enumerate(zip(widths, share_out(most, n))) if r >= 0]
+    return []
 
 
 def pivot_rows(fp: np.ndarray) -> np.ndarray:
@@ -143,46 +128,40 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ).filter(ok)
 
 
-def cells_of(fp: np.ndarray, bits: list[int]) -> np.ndarray:
-    """Number that sampled bits of each point make."""
-    out = np.zeros(len(fp), np.int64)
-    for k, b in enumerate(bits):
-        out |= ((fp[:, b // 64] >> U(b % 64)) & U(1)).astype(np.int64) << k
-    return out
-
-
-def _spread(tables: Tables):
+def _spread(chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        outer, _ = samples(tables)
-
-        def cells(fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for t, bits in enumerate(outer):
-                cell = cells_of(fp, bits)
-                order = np.argsort(cell, kind="stable")
-                full, size = np.unique(cell, return_counts=True)
-                ends = np.concatenate([[0], np.cumsum(size) * 16]).astype(np.int32)
-                fps = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(ends), pa.py_buffer(fp[order])])
-                yield pa.record_batch({"cell": pa.array((t << tables.outer_bits) + full), "fps": fps})
+        def packs(fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Points by chunk, for each task of the chunk."""
+            own = (names_of(fp).view(np.uint64) % U(chunks)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            full, size = np.unique(own, return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(size) * 16]).astype(np.int32)
+            fps = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(ends), pa.py_buffer(fp[order])])
+            for j in range(chunks):
+                yield pa.record_batch({"task": pa.array(task_of(full, j, chunks)), "chunk": pa.array(full), "fps": fps})
 
         held, n = [], 0
         for b in batches:
             held.append(np.stack([b.column("hi").to_numpy().view(np.uint64), b.column("lo").to_numpy().view(np.uint64)], 1))
             n += b.num_rows
             if n >= AT_ONCE:
-                yield from cells(np.concatenate(held))
+                yield from packs(np.concatenate(held))
                 held, n = [], 0
         if n:
-            yield from cells(np.concatenate(held))
+            yield from packs(np.concatenate(held))
 
     return run
 
 
 class Forest:
-    """Points of a cell and what connects them so far."""
+    """Points of a task and what connects them so far."""
 
     def __init__(self, fp: np.ndarray, radius: int):
         self.fp, self.pivots, self.radius = fp, pivot_rows(fp), radius
+        self.words = [np.ascontiguousarray(fp[:, k]) for k in (0, 1)]
         self.label = np.arange(len(fp))
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -221,69 +200,114 @@ class Forest:
         if kept.any():
             self.edges.append((a[kept], b[kept]))
 
-    def bucket(self, members: np.ndarray) -> None:
-        """Connect what is near in a large bucket. Each leader is compared with all others;
-        those near it are joined to it, and then compared with the ones that aren't, so no
-        connection is missed though near copies give no quadratic output."""
-        rest, done = members, members[:0]
-        while len(rest) and (self.label[members] != self.label[members[0]]).any():
-            lead, others = rest[0], rest[1:]
-            ok = self.near(np.full(len(others), lead), others)
-            self.join(np.full(int(ok.sum()), lead), others[ok])
-            self.compare(np.full(len(done), lead), done)
-            mine, rest = others[ok], others[~ok]
-            for lo in range(0, len(mine) if len(rest) else 0, max(1, PAIRS // max(1, len(rest)))):
-                m = mine[lo : lo + max(1, PAIRS // len(rest))]
-                self.compare(np.repeat(m, len(rest)), np.tile(rest, len(m)))
-            done = np.concatenate([done, [lead]])
-
-
-def cell_edges(fp: np.ndarray, masks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points of a cell, within the radius, that connect all that its tables find."""
-    forest, n = Forest(fp, radius), len(fp)
-    if n <= ALL_PAIRS:
-        forest.compare(*np.triu_indices(n, 1))
+    def cross(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Connect all near pairs of a point of ``a`` and one of ``b``; both may be the same points."""
+        for word, most in enumerate(share_out(self.radius, 2)):
+            blocks = blocks_for(min(len(a), len(b)), most)
+            for block in blocks:
+                self.block(word, most, a, b, *block)
+            if not blocks and most >= 0:
+                self.meet(word, most, a, b)
+        self.settle()
+
+    def block(self, word: int, most: int, a: np.ndarray, b: np.ndarray, shift: int, width: int, bits: int) -> None:
+        """Meet the points of which the block of the word differs by some bits at most."""
+        key = ((self.words[word] >> U(shift)) & U((1 << width) - 1)).astype(np.int64)
+        one = a is b
+        a, b = a[np.argsort(key[a], kind="stable")], b[np.argsort(key[b], kind="stable")]
+        start = np.searchsorted(key[b], np.arange((1 << width) + 1))
+        ball = np.flatnonzero(np.bitwise_count(np.arange(1 << width)) <= bits)
+        own, head = np.unique(key[a], return_index=True)
+        for k, lo, hi in zip(own.tolist(), head.tolist(), [*head[1:].tolist(), len(a)]):
+            near = k ^ ball
+            if one:
+                near = near[near >= k]  # the others met when it was their turn
+            first = start[near]
+            size = start[near + 1] - first
+            ends = np.cumsum(size)
+            if ends[-1]:
+                self.meet(word, most, a[lo:hi], b[np.arange(ends[-1]) + np.repeat(first - ends + size, size)])
+
+    def meet(self, word: int, most: int, a: np.ndarray, b: np.ndarray) -> None:
+        """Note the pairs of which the word differs by ``most`` bits at most."""
+        for lo in range(0, len(b), COLUMNS):
+            other = b[lo : lo + COLUMNS]
+            y = self.words[word][other]
+            step = max(1, AT_ONCE // len(other))
+            for at in range(0, len(a), step):
+                mine = a[at : at + step]
+                if self.edges and len(mine) > 1:
+                    label = self.label[mine]
+                    same = label == np.partition(label, len(mine) // 2)[len(mine) // 2]
+                    if 2 * np.count_nonzero(same) > len(mine):  # most are connected: only others are new to them
+                        new = self.label[other] != label[same.argmax()]
+                        self.tile(word, most, mine[same], other[new], y[new])
+                        mine = mine[~same]
+                self.tile(word, most, mine, other, y)
+
+    def tile(self, word: int, most: int, a: np.ndarray, b: np.ndarray, y: np.ndarray) -> None:
+        """``meet`` of some points; ``y`` has the words of ``b``."""
+        if not len(a) or not len(b):
+            return
+        ok = np.bitwise_count(self.words[word][a][:, None] ^ y) <= most
+        n = np.count_nonzero(ok)
+        if n > ok.size >> 4:  # near copies: one link of each connects most of them
+            for axis in (1, 0):
+                i, j = np.arange(len(a)), np.arange(len(b))
+                i, j = (i, ok.argmax(1)) if axis else (ok.argmax(0), j)
+                linked = ok[i, j]
+                self.compare(a[i[linked]], b[j[linked]])
+                ok &= self.label[a][:, None] != self.label[b]
+            n = np.count_nonzero(ok)
+        if n:
+            i, j = np.divmod(np.flatnonzero(ok), len(b))
+            self.found.append((a[i], b[j]))
+            self.waiting += n
+            if self.waiting >= AT_ONCE:
+                self.settle()
+
+    def settle(self) -> None:
+        """Connect the noted pairs that are near."""
+        for a, b in self.found and [[np.concatenate(x) for x in zip(*self.found)]]:
+            self.compare(a, b)
+        self.found, self.waiting = [], 0
+
+
+def task_edges(fp: np.ndarray, first: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of points within the radius that connect all that are, of one of the ``first`` points
+    and one of the others; if there are no others, of any two."""
+    forest, at = Forest(fp, radius), np.arange(len(fp))
+    if first == len(fp):
+        forest.cross(at, at)
     else:
-        low = U((1 << n.bit_length()) - 1)
-        index = np.arange(n, dtype=np.uint64)
-        for m in masks:
-            sel = fp & m
-            key = np.sort((mix(mix(sel[:, 0]) + sel[:, 1]) & ~low) | index)  # the lowest bits say which point it is
-            own, at = key & ~low, (key & low).astype(np.int64)
-            head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            size = np.diff(np.append(head, n))
-            for s in np.unique(size[(size > 1) & (size <= 32)]):
-                i, j = np.triu_indices(int(s), 1)
-                h = head[size == s][:, None]
-                forest.compare(at[(h + i).ravel()], at[(h + j).ravel()])
-            for h, s in zip(head[size > 32].tolist(), size[size > 32].tolist()):
-                forest.bucket(at[h : h + s])
+        forest.cross(at[:first], at[first:])
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *(a for a, _ in forest.edges)]), np.concatenate([none, *(b for _, b in forest.edges)])
 
 
-def _pairs(radius: int, tables: Tables):
+def _pairs(radius: int, chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, inner = samples(tables)
-        held: list[np.ndarray] = []
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         at = -1
 
-        def settle() -> pa.RecordBatch:
-            fp = np.concatenate(held)
-            a, b = cell_edges(fp, inner[at >> tables.outer_bits], radius)
-            names = names_of(fp)
-            return pa.record_batch({"a": pa.array(names[a]), "b": pa.array(names[b])})
+        def settle() -> Iterator[pa.RecordBatch]:
+            sides = [np.concatenate(x) for x in held if x]
+            if len(sides) == 2 or at // chunks == at % chunks:  # a chunk may be empty
+                fp = np.concatenate(sides)
+                a, b = task_edges(fp, len(sides[0]), radius)
+                names = names_of(fp)
+                yield pa.record_batch({"a": pa.array(names[a]), "b": pa.array(names[b])})
 
         for batch in batches:
             fps = batch.column("fps")
-            for k, cell in enumerate(batch.column("cell").to_pylist()):
-                if cell != at and held:
-                    yield settle()
-                    held = []
-                at = cell
-                held.append(np.frombuffer(fps[k].as_buffer(), np.uint8).copy().view(np.uint64).reshape(-1, 2))
-        if held:
-            yield settle()
+            for k, (task, chunk) in enumerate(zip(batch.column("task").to_pylist(), batch.column("chunk").to_pylist())):
+                if task != at and at >= 0:
+                    yield from settle()
+                    held = ([], [])
+                at = task
+                held[chunk != task // chunks].append(np.frombuffer(fps[k].as_buffer(), np.uint8).copy().view(np.uint64).reshape(-1, 2))
+        if at >= 0:
+            yield from settle()
 
     return run
 
@@ -295,20 +319,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(_fingerprints, "rid long, doc_id long, p long, hi long, lo long")
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, cell: int = CELL) -> DataFrame:
+def near_groups(docs: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     """Groups of near copies: (rid, doc_id, group_id, copies, keep), one row a distinct
     (doc_id, text) that has a copy. ``group_id`` is the least doc_id of the group,
     ``copies`` its rows, ``keep`` marks the one that stays."""
     slim = fingerprints(docs).groupBy("rid", "doc_id", "p", "hi", "lo").agg(F.count("*").alias("n"))
     slim = materialize(slim, "fp")
     points = materialize(slim.select("hi", "lo").distinct(), "points")
-    n = points.count()
-    tables = tables_for(n, radius, recall, cell)
-    keys = points.mapInArrow(_spread(tables), "cell long, fps binary")
-    # some CELL rows a task, but not more tasks than a driver can keep
-    parts = min(tables.outer << tables.outer_bits, max(1, math.ceil(tables.outer * n / cell)), MOST_TASKS)
-    near = keys.repartitionById(parts, F.pmod("cell", F.lit(parts)).cast("int")).sortWithinPartitions("cell")
-    edges = near.mapInArrow(_pairs(radius, tables), "a long, b long")
+    chunks = chunks_for(points.count(), cell)
+    packs = points.mapInArrow(_spread(chunks), "task long, chunk long, fps binary")
+    i, j = F.floor(F.col("task") / chunks), F.col("task") % chunks
+    # the tasks of two chunks, numbered row by row, but not more tasks than a driver can keep
+    parts = min(chunks * (chunks + 1) // 2, MOST_TASKS)
+    packs = packs.repartitionById(parts, F.pmod(j * (j + 1) / 2 + i, F.lit(parts)).cast("int")).sortWithinPartitions("task")
+    edges = packs.mapInArrow(_pairs(radius, chunks), "a long, b long")
     roots = materialize(connected_components(edges), "roots")
     named = slim.join(roots.withColumnRenamed("node", "p"), "p", "left")
     named = named.select("rid", "doc_id", "n", F.coalesce("root", "p").alias("root"))
