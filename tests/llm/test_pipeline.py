@@ -14,6 +14,7 @@ from loomgrid.llm import decontaminate, langid
 from loomgrid.llm.queries import queries
 from tests.llm.test_decontaminate import similarity
 from tests.llm.test_near_dedup import brute as groups
+from tests.llm.test_near_dedup import planted
 from tests.llm.corpus import tokens
 
 ROOT = Path(__file__).parent.parent.parent
@@ -33,6 +34,12 @@ def test_stages(spark, sf):
         kept, before = spark.createDataFrame(after, kept.schema), after
 
 
+def test_one_of_each_linked_pair_goes_on(spark, monkeypatch):
+    docs = planted(spark, monkeypatch, 3000, 400)
+    kept = P.near_copies(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(3000))
+
+
 def _language(spark, before, after, bench):
     model = langid.train(spark.createDataFrame(before))
     r = langid.spans_of(pa.array([d.text for d in before]), model)
