@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,10 @@ KINDS = 12
 EDGE = 0
 FIRST = 1 + KINDS  #: id of the most frequent type; 0 is the edge of a text, then the shapes
 _BITS = 42
+#: Rows of a task that are counted or packed at a time.
+AT_ONCE = 4_000_000
+#: Prefixes of word hashes by which types are found.
+_PREFIX = 20
 
 
 def kinds(w: Words) -> np.ndarray:
@@ -67,39 +71,66 @@ def kinds(w: Words) -> np.ndarray:
     return group * 4 + np.searchsorted([4, 8, 16], w.end - w.start)
 
 
-class Sums:
-    """Sums by key that give way when there are many."""
+def sums(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of ``n``, or how often they occur."""
+    if n is None:
+        key = np.sort(key)
+    else:
+        o = np.argsort(key)
+        key, n = key[o], n[o]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[head], np.diff(np.append(head, len(key))) if n is None else np.add.reduceat(n, head) if len(key) else n
+
+
+def _packs(parts: int, key: np.ndarray, **others: np.ndarray) -> pa.RecordBatch:
+    """Rows by a hash of their key: a row for each bucket, with the bytes of each column."""
+    bucket = (mix(key.view(np.uint64), 31) % U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+    order, size = np.argsort(bucket, kind="stable"), np.bincount(bucket)
+    full = np.flatnonzero(size)
+    out = {"bucket": pa.array(full.astype(np.int32))}
+    for name, x in {"key": key, **others}.items():
+        ends = np.concatenate([[0], np.cumsum(size[full]) * x.itemsize]).astype(np.int32)
+        out[name] = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(ends), pa.py_buffer(x[order])])
+    return pa.record_batch(out)
 
-    def __init__(self, most: int = 2_000_000):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.rows, self.most = 0, most
 
-    def add(self, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        self.parts.append((key, n))
-        self.rows += len(key)
-        if self.rows > self.most:
-            key, n = self.take()
-            if len(key) > self.most // 2:
-                return key, n
-            self.parts, self.rows = [(key, n)], len(key)
-        return None
+def _unpacked(batches: Iterator[pa.RecordBatch], **kinds: type) -> list[np.ndarray]:
+    """All rows of a bucket, by column."""
+    held: dict[str, list[np.ndarray]] = {name: [np.zeros(0, kind)] for name, kind in kinds.items()}
+    for b in batches:
+        for name, kind in kinds.items():
+            for x in b.column(name):
+                held[name].append(np.frombuffer(x.as_buffer(), kind).copy())
+    return [np.concatenate(x) for x in held.values()]
 
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        key, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in self.parts)]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([np.zeros(0), *(x for _, x in self.parts)]), len(key)).astype(np.int64)
-        self.parts, self.rows = [], 0
-        return key, n
 
+def _counted(rows: DataFrame, parts: int, finish, schema: str) -> DataFrame:
+    """Sums by key of (bucket, key, n) from ``_packs``; a task holds one bucket."""
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = Sums()
-    out = lambda x: pa.record_batch({"key": pa.array(x[0]), "n": pa.array(x[1])})
-    for b in slices(batches, "text"):
-        w = words(b.column("text"))
-        u, n = np.unique(keys_of(w), return_counts=True)
-        if (full := sums.add(u, n)) is not None:
-            yield out(full)
-    yield out(sums.take())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield finish(*sums(*_unpacked(batches, key=np.int64, n=np.int64)))
+
+    return rows.repartitionById(parts, F.col("bucket")).mapInArrow(run, schema)
+
+
+def _counts(keys, parts: int):
+    """Packs of the keys that ``keys`` finds in each batch and how often they occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packs() -> pa.RecordBatch:
+            key, n = sums(np.concatenate(held))
+            return _packs(parts, key, n=n.astype(np.int64))
+
+        held: list[np.ndarray] = []
+        for b in slices(batches, "text"):
+            held.append(keys(words(b.column("text"))))
+            if sum(map(len, held)) >= AT_ONCE:
+                yield packs()
+                held = []
+        if held:
+            yield packs()
+
+    return run
 
 
 @dataclass
@@ -114,6 +145,7 @@ class Model:
     rest: DataFrame | None = None  #: (key, class, n) of the types beside the core
     rest_weight: np.ndarray | None = None  #: their weight in each class
     encoded: DataFrame | None = None  #: the training documents, from ``encode``
+    index: tuple[np.ndarray, int] | None = field(default=None, repr=False)  #: of the keys, made where it is used
 
     def types(self, w: Words) -> np.ndarray:
         """Type of each word."""
@@ -121,12 +153,24 @@ class Model:
         kind = key & 15
         if not len(self.key):
             return 1 + kind
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, self.ident[at], 1 + kind)
+        first, most = self.starts()
+        at, out = first[(key >> (64 - _PREFIX)) + (1 << (_PREFIX - 1))], 1 + kind
+        for _ in range(most):
+            ok = self.key.take(at, mode="clip") == key
+            out = np.where(ok, self.ident.take(at, mode="clip"), out)
+            at = at + 1
+        return out
+
+    def starts(self) -> tuple[np.ndarray, int]:
+        """First key of each prefix, and how many keys have the same one at most."""
+        if self.index is None:
+            prefix = (self.key >> (64 - _PREFIX)) + (1 << (_PREFIX - 1))
+            self.index = np.searchsorted(prefix, np.arange(1 << _PREFIX)).astype(np.int32), int(np.bincount(prefix).max())
+        return self.index
 
     def slim(self) -> Model:
         """What executors need."""
-        return replace(self, rest=None, encoded=None)
+        return replace(self, rest=None, encoded=None, index=None)
 
     def moves(self) -> np.ndarray:
         """Log probabilities of a class after a class."""
@@ -175,18 +219,11 @@ def gains(pairs: np.ndarray, home: int, right: np.ndarray, left: np.ndarray, own
     return out - out[home]
 
 
-def _count_pairs(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
-        out = lambda x: pa.record_batch({"a": pa.array((x[0] >> 21).astype(np.int32)), "b": pa.array((x[0] & (2**21 - 1)).astype(np.int32)), "n": pa.array(x[1])})
-        for b in slices(batches, "text"):
-            seq, _ = sequence(words(b.column("text")), model)
-            u, n = np.unique((seq[:-1] << 21) | seq[1:], return_counts=True)
-            n = n[u != 0]
-            u = u[u != 0]  # edges of two texts meet
-            if (full := sums.add(u, n)) is not None:
-                yield out(full)
-        yield out(sums.take())
+def _pairs_of(model: Model):
+    def run(w: Words) -> np.ndarray:
+        seq, _ = sequence(w, model)
+        pair = (seq[:-1] << 21) | seq[1:]
+        return pair[pair != 0]  # edges of two texts meet
 
     return run
 
@@ -294,7 +331,11 @@ def exchange(near: DataFrame, group: np.ndarray, classes: int, rounds: int | Non
 def train(docs: DataFrame, classes: int = CLASSES, rounds: int | None = None, min_share: float = MIN_SHARE, min_count: int = MIN_COUNT, part_bytes: int = PART_BYTES) -> Model:
     """Counts, classes and class bigrams of all documents."""
     slim = docs.select("text").where("text is not null")
-    counted = materialize(slim.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    size = _size(docs)
+    parts = max(1, math.ceil(size / part_bytes))
+    packed = "bucket int, key binary, n binary"
+    plain = lambda key, n: pa.record_batch({"key": pa.array(key), "n": pa.array(n)})
+    counted = materialize(_counted(slim.mapInArrow(_counts(keys_of, parts), packed), parts, plain, "key long, n long"), "words")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(min_count, math.ceil(min_share * total))
     t = counted.where(F.col("n") >= least).toArrow()
@@ -316,14 +357,15 @@ def train(docs: DataFrame, classes: int = CLASSES, rounds: int | None = None, mi
     model = Model(key[by_key], ident[by_key], count, distinct, group, np.zeros((classes + 1, classes + 1), np.int64), classes)
     if not total:
         return model
-    pairs = materialize(slim.mapInArrow(_count_pairs(model), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    both = lambda key, n: pa.record_batch({"a": pa.array((key >> 21).astype(np.int32)), "b": pa.array((key & (2**21 - 1)).astype(np.int32)), "n": pa.array(n)})
+    pairs = materialize(_counted(slim.mapInArrow(_counts(_pairs_of(model), parts), packed), parts, both, "a int, b int, n long"), "pairs")
     pack = lambda other: F.collect_list(F.shiftleft(F.col(other).cast("long"), _BITS) + F.col("n"))
     near = pairs.groupBy(F.col("a").alias("w")).agg(pack("b").alias("r")).join(pairs.groupBy(F.col("b").alias("w")).agg(pack("a").alias("l")), "w", "full")
     group, matrix = exchange(materialize(near, "near"), group, classes, rounds)
     model = replace(model, group=group, pairs=matrix)
-    parted = docs.select("doc_id", "text", _part(docs, part_bytes).alias("part"))
-    near = parted.select("part", "text").where("text is not null").mapInArrow(_contexts(model), "part long, key long, beside short")
-    near = near.repartition("key").sortWithinPartitions("key", "part").mapInArrow(_classes(model, min_count), "part long, key long, class short, n long, first boolean")
+    parted = docs.select("doc_id", "text", _part(size, part_bytes).alias("part"))
+    near = parted.select("part", "text").where("text is not null").mapInArrow(_contexts(model, parts), "bucket int, key binary, part binary, beside binary")
+    near = near.repartitionById(parts, F.col("bucket")).mapInArrow(_classes(model, min_count), "part long, key long, class short, n long, first boolean")
     answers = materialize(near, "types")
     rest = answers.where("first").select("key", "class", "n")
     weight = np.zeros(classes + 1)
@@ -337,29 +379,43 @@ def train(docs: DataFrame, classes: int = CLASSES, rounds: int | None = None, mi
     return replace(model, pairs=_sequence_pairs(encoded, classes), encoded=encoded)
 
 
-def _part(docs: DataFrame, part_bytes: int) -> Column:
+def _size(docs: DataFrame) -> int:
+    """Bytes of the texts."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def _part(size: int, part_bytes: int) -> Column:
     """Part of a row, by its hash. Rows that repeat lie in many blocks of files, which parts them."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     return F.pmod(F.xxhash64("doc_id", "text", F.input_file_name(), F.input_file_block_start()), F.lit(max(1, math.ceil(size / part_bytes))))
 
 
-def _contexts(model: Model):
-    """A row for each token of no core type: its part and word, and the classes beside it."""
+def _contexts(model: Model, parts: int):
+    """Packs, by word, of each token of no core type: its part and word, and the classes beside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packs() -> pa.RecordBatch:
+            part, key, beside = (np.concatenate(x) for x in zip(*held))
+            return _packs(parts, key, part=part, beside=beside)
+
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in slices(batches, "text"):
             w = words(b.column("text"))
             seq, doc = sequence(w, model)
             c, at = model.group[seq], np.flatnonzero(seq != EDGE)
             i = np.flatnonzero(seq[at] < FIRST)
             beside = (c[at[i] - 1] << 8 | c[at[i] + 1]).astype(np.int16)
-            yield pa.record_batch({"part": b.column("part").take(pa.array(doc[at[i]])), "key": pa.array(keys_of(w)[i]), "beside": pa.array(beside)})
+            held.append((b.column("part").to_numpy()[doc[at[i]]], keys_of(w)[i], beside))
+            if sum(len(x) for x, _, _ in held) >= AT_ONCE:
+                yield packs()
+                held = []
+        if held:
+            yield packs()
 
     return run
 
 
 def _classes(model: Model, min_count: int):
-    """Contexts sorted by word and part to the types among the words, with their classes, a row
+    """Packs of contexts, all those of a word in one task, to the types among the words, with their classes, a row
     for each part that has the word."""
     k = model.classes + 1
     n = model.pairs + 0.5
@@ -378,11 +434,12 @@ def _classes(model: Model, min_count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         open_key, open_left, open_right, open_parts = none, np.zeros((0, k)), np.zeros((0, k)), [none]
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, at = np.unique(b.column("key").to_numpy(), return_inverse=True)
-            part, beside = b.column("part").to_numpy(), b.column("beside").to_numpy().astype(np.int64)
+        all_key, all_part, all_beside = _unpacked(batches, key=np.int64, part=np.int64, beside=np.int16)
+        order = np.lexsort((all_part, all_key))
+        for lo in range(0, len(order), 10_000):
+            i = order[lo : lo + 10_000]
+            key, at = np.unique(all_key[i], return_inverse=True)
+            part, beside = all_part[i], all_beside[i].astype(np.int64)
             left = np.bincount(at * k + (beside >> 8), minlength=len(key) * k).reshape(-1, k).astype(np.float64)
             right = np.bincount(at * k + (beside & 255), minlength=len(key) * k).reshape(-1, k).astype(np.float64)
             o = np.lexsort((part, at))
@@ -411,7 +468,7 @@ def keys_of(w: Words) -> np.ndarray:
 def encode(docs: DataFrame, model: Model, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, n_words, emit, classes) of every row: log probability of the words in their
     classes, and the class of each word, a byte each. The documents may be new to the model."""
-    parted = docs.select("doc_id", "text", _part(docs, part_bytes).alias("part"))
+    parted = docs.select("doc_id", "text", _part(_size(docs), part_bytes).alias("part"))
     answers = parted.select("part", "text").mapInArrow(_unknown(model.slim()), "part long, key long")
     if model.rest is not None:
         answers = answers.join(model.rest, "key").select("part", "key", "class", "n")

@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 
 from loomgrid.llm import brown_lm as B
-from tests.llm.corpus import ODD, frame, rows, tokens
+from loomgrid.llm.textkernel import words
+from tests.llm.corpus import ODD, frame, prose, rows, tokens
 
 
 def grammar(rng, n):
@@ -181,3 +182,31 @@ def test_order_matters(spark, model, docs):
 def test_empty_table(spark):
     none = frame(spark, [])
     assert B.score(none, B.train(none)).count() == 0 and B.train_and_score(none).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [B.AT_ONCE, 300])
+def test_counts_travel_in_packs(monkeypatch, at_once):
+    """A row for each bucket, not for each word; the sums are those of all words."""
+    monkeypatch.setattr(B, "AT_ONCE", at_once)
+    monkeypatch.setattr(B, "slices", lambda batches, column: (b.slice(k, 1) for b in batches for k in range(b.num_rows)))
+    rng = random.Random(31)
+    texts = pa.array([prose(rng, 100, 400) for _ in range(20)] + [None, ""])
+    out = list(B._counts(B.keys_of, 7)(iter([pa.record_batch({"text": texts})])))
+    assert all(b.num_rows <= 7 for b in out) and len(out) == (1 if at_once > 300 else 7)
+    key, n = B.sums(*B._unpacked(iter(out), key=np.int64, n=np.int64))
+    want, times = np.unique(B.keys_of(words(texts)), return_counts=True)
+    assert key.tolist() == want.tolist() and n.tolist() == times.tolist()
+    where = [set(np.frombuffer(b.column("key")[k].as_buffer(), np.int64).tolist()) for b in out for k in range(b.num_rows)]
+    bucket = [x for b in out for x in b.column("bucket").to_pylist()]
+    assert all(i == j or not a & b for a, i in zip(where, bucket) for b, j in zip(where, bucket))
+
+
+def test_types_are_found_where_prefixes_are_shared():
+    w = words(pa.array([prose(random.Random(32), 3000, 900)]))
+    found = np.unique(B.keys_of(w))
+    near = (found[:1] & ~np.int64(2**40 - 1)) + np.arange(0, 160, 16)  # the same prefix ten times
+    key = np.unique(np.concatenate([found[::2], near, [-(2**63), 2**63 - 1]]))
+    ident = B.FIRST + np.random.default_rng(1).permutation(len(key))
+    model = B.Model(key, ident, np.zeros(0), np.zeros(B.KINDS), np.zeros(0), np.zeros((1, 1)), 1)
+    known = dict(zip(key.tolist(), ident.tolist()))
+    assert model.types(w).tolist() == [known.get(k, 1 + (k & 15)) for k in B.keys_of(w).tolist()]
