@@ -16,6 +16,8 @@ shape type has an equal share with all such words, one unseen word included, so
 probabilities of all words sum to one.
 
 Cost: the core (a bounded number of types), class counts and moves reach the driver. The
+neighbours of the core are packed arrays by type, parted by the third that is tried in a round, so a round
+reads a third of them, and the class bigrams change by those of the types that move. The
 other types stay in a table by word, which grows with the corpus: a row a token of theirs is
 shuffled to class them, and a group of them has less than ``MIN_SHARE`` of the tokens. To
 look them up, documents are hashed to parts of about ``PART_BYTES``; the answers for the words
@@ -53,9 +55,15 @@ SCORE = "doc_id long, n_words long, log_prob double, perplexity double"
 KINDS = 12
 EDGE = 0
 FIRST = 1 + KINDS  #: id of the most frequent type; 0 is the edge of a text, then the shapes
-_BITS = 42
+#: bits of a type's id
+_BITS = 21
 #: Rows of a task that are counted or packed at a time.
 AT_ONCE = 4_000_000
+#: Bigrams of a part of the table of neighbours, about.
+NEAR = 1 << 19
+#: Types of which the neighbours are laid out by class at a time.
+TYPES = 1 << 10
+TINY = 1e-300
 #: Prefixes of word hashes by which types are found.
 _PREFIX = 20
 
@@ -82,15 +90,20 @@ def sums(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.n
     return key[head], np.diff(np.append(head, len(key))) if n is None else np.add.reduceat(n, head) if len(key) else n
 
 
-def _packs(parts: int, key: np.ndarray, **others: np.ndarray) -> pa.RecordBatch:
-    """Rows by a hash of their key: a row for each bucket, with the bytes of each column."""
-    bucket = (mix(key.view(np.uint64), 31) % U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+def _binary(x: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The bytes of ``x``, an entry for each of the sizes."""
+    ends = np.concatenate([[0], np.cumsum(size) * x.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+
+
+def _packs(parts: int, by: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """Rows by a hash of ``by``: a row for each bucket, with the bytes of each column."""
+    bucket = (mix(by.view(np.uint64), 31) % U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
     order, size = np.argsort(bucket, kind="stable"), np.bincount(bucket)
     full = np.flatnonzero(size)
     out = {"bucket": pa.array(full.astype(np.int32))}
-    for name, x in {"key": key, **others}.items():
-        ends = np.concatenate([[0], np.cumsum(size[full]) * x.itemsize]).astype(np.int32)
-        out[name] = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(ends), pa.py_buffer(x[order])])
+    for name, x in columns.items():
+        out[name] = _binary(x[order], size[full])
     return pa.record_batch(out)
 
 
@@ -119,7 +132,7 @@ def _counts(keys, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packs() -> pa.RecordBatch:
             key, n = sums(np.concatenate(held))
-            return _packs(parts, key, n=n.astype(np.int64))
+            return _packs(parts, key, key=key, n=n.astype(np.int64))
 
         held: list[np.ndarray] = []
         for b in slices(batches, "text"):
@@ -202,27 +215,51 @@ def likelihood(pairs: np.ndarray) -> float:
     return f(n) - f(n.sum(0)) - f(n.sum(1))
 
 
-def gains(pairs: np.ndarray, home: int, right: np.ndarray, left: np.ndarray, own: float) -> np.ndarray:
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, TINY))
+
+
+def gains(pairs: np.ndarray, home, right: np.ndarray, left: np.ndarray, own) -> np.ndarray:
     """What the likelihood of the class bigrams gains if a type moves from its class to each:
-    ``right`` and ``left`` are its neighbours' counts by class, without ``own``, itself."""
-    f = lambda x: x * np.log(np.maximum(x, 1e-300))
-    n = pairs.astype(np.float64)
-    n[home] -= right
-    n[:, home] -= left
-    n[home, home] -= own
-    rows, cols, base = n.sum(1) + left, n.sum(0) + right, f(n)
-    a, b = f(n + right) - base, f(n + left[:, None]) - base
-    d = np.diagonal
-    out = a.sum(1) - d(a) + b.sum(0) - d(b) + f(d(n) + right + left + own) - d(base)
-    r, c = right.sum() + own, left.sum() + own
-    out -= f(rows + r) - f(rows) + f(cols + c) - f(cols)
-    return out - out[home]
+    ``right`` and ``left`` are its neighbours' counts by class, without ``own``, itself. Of
+    several types, each alone, the arguments have a row each."""
+    if np.ndim(home) == 0:
+        return gains(pairs, np.array([home]), right[None], left[None], np.array([own]))[0]
+    n = np.maximum(pairs, TINY)  # so that no logarithm is of zero
+    base, i = _xlogx(n), np.arange(len(home))
+    whole, whole_base = n.copy(), base.copy()
+    # row and column of its class, and the diagonal, without the type
+    row, col, corner = n[home] - right, n.T[home] - left, n[home, home] - right[i, home] - left[i, home] - own
+    row[i, home] = col[i, home] = corner
+    row, col = np.maximum(row, TINY), np.maximum(col, TINY)
+    row_base, col_base = _xlogx(row), _xlogx(col)
+    own = own[:, None]
+    diagonal, diagonal_base = (np.repeat(x.diagonal()[None], len(i), 0) for x in (n, base))
+    diagonal[i, home], diagonal_base[i, home] = row[i, home], row_base[i, home]
+    out, (x, y) = np.empty(right.shape), np.empty((2, *n.shape))
+    for k, h in enumerate(home.tolist()):
+        n[h], n[:, h], base[h], base[:, h] = row[k], col[k], row_base[k], col_base[k]
+        for axis, more in ((1, right[k]), (0, left[k, :, None])):
+            np.log(np.add(n, more, out=x), out=y)
+            y *= x
+            y -= base
+            total = y.sum(axis) if axis else out[k] + y.sum(axis)
+            out[k] = total - y.diagonal()
+        n[h], n[:, h], base[h], base[:, h] = whole[h], whole[:, h], whole_base[h], whole_base[:, h]
+    out += _xlogx(diagonal + right + left + own)
+    out -= diagonal_base
+    r, c = right.sum(1, keepdims=True) + own, left.sum(1, keepdims=True) + own
+    rows, cols = (np.repeat(pairs.sum(axis, dtype=np.float64)[None], len(i), 0) for axis in (1, 0))
+    rows[i, home] -= r[:, 0]
+    cols[i, home] -= c[:, 0]
+    out -= _xlogx(rows + r) - _xlogx(rows) + _xlogx(cols + c) - _xlogx(cols)
+    return out - out[i, home][:, None]
 
 
 def _pairs_of(model: Model):
     def run(w: Words) -> np.ndarray:
         seq, _ = sequence(w, model)
-        pair = (seq[:-1] << 21) | seq[1:]
+        pair = (seq[:-1] << _BITS) | seq[1:]
         return pair[pair != 0]  # edges of two texts meet
 
     return run
@@ -247,56 +284,105 @@ def sequence(w: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return out, doc
 
 
-def _matrix(group: np.ndarray, classes: int):
+def _sides(parts: int):
+    """Packs, by type, of bigrams, each for both its types: (type, side, the other type) in a key,
+    and the count. The side is 0 for the first type."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n in _rows(batches):
+            a, b = key >> _BITS, key & ((1 << _BITS) - 1)
+            w, n = np.concatenate([a, b]), np.concatenate([n, n])
+            yield _packs(parts, w, key=w << (_BITS + 1) | np.concatenate([b, a | 1 << _BITS]), n=n)
+
+    return run
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of each row of packs."""
+    for batch in batches:
+        for key, n in zip(batch.column("key"), batch.column("n")):
+            yield np.frombuffer(key.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs of a bucket to a pack, in order, for each turn."""
+    key, n = sums(*_unpacked(batches, key=np.int64, n=np.int64))
+    turn = mix((key >> (_BITS + 1)).astype(np.uint64), 77) % U(TURNS)
+    for t in range(TURNS):
+        i = np.flatnonzero(turn == U(t))
+        if len(i):
+            yield pa.record_batch({"turn": pa.array([t], pa.int32()), "key": _binary(key[i], [len(i)]), "n": _binary(n[i], [len(i)])})
+
+
+def near_of(pairs: DataFrame, bigrams: int) -> DataFrame:
+    """(key, n, turn): the types beside each type, both sides of a type in one row, from packs of bigrams."""
+    parts = max(1, math.ceil(bigrams / NEAR))
+    packs = pairs.select("key", "n").mapInArrow(_sides(parts), "bucket int, key binary, n binary")
+    return packs.repartitionById(parts, F.col("bucket")).mapInArrow(_neighbours, "turn int, key binary, n binary")
+
+
+def _split(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Type, whether it is the second one, and the other type."""
+    return key >> (_BITS + 1), (key >> _BITS & 1).astype(bool), key & ((1 << _BITS) - 1)
+
+
+def _matrix(group: np.ndarray, classes: int, before: np.ndarray | None = None):
+    """Class bigrams, or how they change from the classes of ``before``: then only the rows of
+    types that move are looked at, and a bigram of two such types counts for its first one."""
+    k = classes + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = classes + 1
         total = np.zeros(k * k)
-        for b in batches:
-            own, at, n, _ = _lists(b, "r")
-            total += np.bincount(group[own] * k + group[at], n, k * k)
+        moved = None if before is None else group != before
+        for key, n in _rows(batches):
+            if moved is not None:
+                i = np.flatnonzero(moved[key >> (_BITS + 1)])
+                key, n = key[i], n[i]
+            w, second, other = _split(key)
+            i = np.flatnonzero(~second if moved is None else ~(second & moved[other]))
+            w, second, other, n = w[i], second[i], other[i], n[i]
+            a, b = np.where(second, other, w), np.where(second, w, other)
+            total += np.bincount(group[a] * k + group[b], n, k * k)
+            if moved is not None:
+                total -= np.bincount(before[a] * k + before[b], n, k * k)
         i = np.flatnonzero(total)
         yield pa.record_batch({"at": pa.array(i), "n": pa.array(total[i].astype(np.int64))})
 
     return run
 
 
-def _lists(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Type, neighbour and count of all entries of a column of lists, and their row."""
-    col = b.column(name)
-    size = np.nan_to_num(np.asarray(col.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
-    v = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(b.num_rows), size)
-    return b.column("w").to_numpy()[row], v >> _BITS, v & ((1 << _BITS) - 1), row
-
+def _moves(group: np.ndarray, pairs: np.ndarray, classes: int):
+    """The best move of each type that gains by one."""
+    k = classes + 1
 
-def _moves(group: np.ndarray, pairs: np.ndarray, classes: int, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = classes + 1
-        for big in batches:
-            ids = big.column("w").to_numpy()
-            big = big.filter(pa.array((mix(ids.astype(np.uint64), 77) % U(TURNS) == U(turn % TURNS)) & (ids != EDGE)))
-            for lo in range(0, big.num_rows, 256):
-                b = big.slice(lo, 256)
-                ids = b.column("w").to_numpy()
-                side, own = {}, np.zeros(b.num_rows)
-                for name in ("r", "l"):
-                    w, at, n, row = _lists(b, name)
-                    other = w != at
-                    side[name] = np.bincount(row[other] * k + group[at[other]], n[other], b.num_rows * k).reshape(-1, k)
-                    own = np.bincount(row[~other], n[~other], b.num_rows)
-                found = []
-                for i in range(b.num_rows):
-                    g = gains(pairs, int(group[ids[i]]), side["r"][i], side["l"][i], own[i])[:classes]
-                    best = int(g.argmax())
-                    if g[best] > 1e-6:
-                        found.append((int(ids[i]), best, float(g[best])))
-                yield pa.record_batch({"w": pa.array([x[0] for x in found], pa.int32()), "to": pa.array([x[1] for x in found], pa.int32()), "gain": pa.array([x[2] for x in found], pa.float64())})
+        for all_key, all_n in _rows(batches):
+            w = all_key >> (_BITS + 1)
+            head = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            ends = np.append(head, len(w))
+            for lo in range(0, len(head), TYPES):
+                own_head = ends[lo : lo + TYPES + 1]
+                ids, at = w[own_head[:-1]], slice(own_head[0], own_head[-1])
+                row, n = np.repeat(np.arange(len(ids)), np.diff(own_head)), all_n[at]
+                mine, second, other = _split(all_key[at])
+                cell = (2 * row + second) * k + group[other]
+                out = mine != other
+                side = np.bincount(cell[out], n[out], 2 * len(ids) * k).reshape(-1, 2, k)
+                itself = ~out & ~second
+                own = np.bincount(row[itself], n[itself], len(ids))
+                i = np.flatnonzero(ids != EDGE)
+                found = gains(pairs, group[ids[i]], side[i, 0], side[i, 1], own[i])[:, :classes]
+                best = found.argmax(1)
+                gain = found[np.arange(len(i)), best]
+                ok = gain > 1e-6
+                yield pa.record_batch({"w": pa.array(ids[i[ok]].astype(np.int32)), "to": pa.array(best[ok].astype(np.int32)), "gain": pa.array(gain[ok])})
 
     return run
 
 
-def _class_pairs(near: DataFrame, group: np.ndarray, classes: int) -> np.ndarray:
-    t = near.select("w", "r").mapInArrow(_matrix(group, classes), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+def _class_pairs(near: DataFrame, group: np.ndarray, classes: int, before: np.ndarray | None = None) -> np.ndarray:
+    """Class bigrams, or their change from the classes of ``before``."""
+    t = near.select("key", "n").mapInArrow(_matrix(group, classes, before), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((classes + 1) ** 2, np.int64)
     out[t.column("at").to_numpy()] = t.column("n").to_numpy()
     return out.reshape(classes + 1, classes + 1)
@@ -308,13 +394,14 @@ def exchange(near: DataFrame, group: np.ndarray, classes: int, rounds: int | Non
     tokens = max(1, int(pairs.sum()))
     turn, at_cycle = 0, likelihood(pairs)
     while rounds is None or turn < rounds:
-        t = near.mapInArrow(_moves(group, pairs, classes, turn), "w int, to int, gain double").toArrow()
+        mine = near.where(F.col("turn") == turn % TURNS)
+        t = mine.select("key", "n").mapInArrow(_moves(group, pairs, classes), "w int, to int, gain double").toArrow()
         w, to, gain = (t.column(c).to_numpy() for c in ("w", "to", "gain"))
         order = np.lexsort([w, -gain])
         while len(order):
             trial = group.copy()
             trial[w[order]] = to[order]
-            after = _class_pairs(near, trial, classes)
+            after = pairs + _class_pairs(mine, trial, classes, group)
             if likelihood(after) > likelihood(pairs):
                 group, pairs = trial, after
                 break
@@ -357,11 +444,10 @@ def train(docs: DataFrame, classes: int = CLASSES, rounds: int | None = None, mi
     model = Model(key[by_key], ident[by_key], count, distinct, group, np.zeros((classes + 1, classes + 1), np.int64), classes)
     if not total:
         return model
-    both = lambda key, n: pa.record_batch({"a": pa.array((key >> 21).astype(np.int32)), "b": pa.array((key & (2**21 - 1)).astype(np.int32)), "n": pa.array(n)})
-    pairs = materialize(_counted(slim.mapInArrow(_counts(_pairs_of(model), parts), packed), parts, both, "a int, b int, n long"), "pairs")
-    pack = lambda other: F.collect_list(F.shiftleft(F.col(other).cast("long"), _BITS) + F.col("n"))
-    near = pairs.groupBy(F.col("a").alias("w")).agg(pack("b").alias("r")).join(pairs.groupBy(F.col("b").alias("w")).agg(pack("a").alias("l")), "w", "full")
-    group, matrix = exchange(materialize(near, "near"), group, classes, rounds)
+    pack = lambda key, n: pa.record_batch({"size": pa.array([len(key)]), "key": _binary(key, [len(key)]), "n": _binary(n, [len(n)])})
+    pairs = materialize(_counted(slim.mapInArrow(_counts(_pairs_of(model), parts), packed), parts, pack, "size long, key binary, n binary"), "pairs")
+    near = near_of(pairs, pairs.agg(F.sum("size")).first()[0])
+    group, matrix = exchange(materialize(near, "near", "turn"), group, classes, rounds)
     model = replace(model, group=group, pairs=matrix)
     parted = docs.select("doc_id", "text", _part(size, part_bytes).alias("part"))
     near = parted.select("part", "text").where("text is not null").mapInArrow(_contexts(model, parts), "bucket int, key binary, part binary, beside binary")
@@ -395,7 +481,7 @@ def _contexts(model: Model, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packs() -> pa.RecordBatch:
             part, key, beside = (np.concatenate(x) for x in zip(*held))
-            return _packs(parts, key, part=part, beside=beside)
+            return _packs(parts, key, key=key, part=part, beside=beside)
 
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in slices(batches, "text"):

@@ -210,3 +210,60 @@ def test_types_are_found_where_prefixes_are_shared():
     model = B.Model(key, ident, np.zeros(0), np.zeros(B.KINDS), np.zeros(0), np.zeros((1, 1)), 1)
     known = dict(zip(key.tolist(), ident.tolist()))
     assert model.types(w).tolist() == [known.get(k, 1 + (k & 15)) for k in B.keys_of(w).tolist()]
+
+
+def test_gains_of_several_types_are_those_of_each():
+    rng = np.random.default_rng(33)
+    pairs, home = rng.integers(0, 4, (8, 8)) * rng.integers(1, 900, (8, 8)), rng.integers(0, 7, 20)
+    right, left, own = rng.integers(0, 3, (20, 8)), rng.integers(0, 3, (20, 8)), rng.integers(0, 3, 20)
+    for k, h in enumerate(home):  # the counts hold those of every type
+        pairs[h] += right[k]
+        pairs[:, h] += left[k]
+        pairs[h, h] += own[k]
+    want = [B.gains(pairs, home[k], right[k], left[k], own[k]) for k in range(20)]
+    assert (B.gains(pairs, home, right, left, own) == want).all()
+
+
+def packed_pairs(spark, big, rows):
+    """Bigrams of a table in some packs."""
+    a, b = np.nonzero(big)
+    key, n = a << B._BITS | b, big[a, b]
+    cut = [key[k::rows] for k in range(rows)], [n[k::rows] for k in range(rows)]
+    return spark.createDataFrame([(bytearray(x.tobytes()), bytearray(y.tobytes())) for x, y in zip(*cut)], "key binary, n binary"), len(key)
+
+
+def test_neighbours_travel_in_packs_and_changes_of_classes_read_those_that_move(spark, monkeypatch):
+    """A row for each part and turn, with both sides of a type in it; the class bigrams after some
+    moves are those of the whole table, however few rows are read."""
+    monkeypatch.setattr(B, "NEAR", 400)
+    rng = np.random.default_rng(34)
+    v, c = 60, 4
+    big = rng.integers(0, 5, (v, v)) * (rng.random((v, v)) < 0.5)
+    pairs, size = packed_pairs(spark, big, 3)
+    near = B.near_of(pairs, size)
+    rows = near.collect()
+    assert len(rows) <= B.TURNS * -(-size // 400)
+    seen, of = np.zeros((2, v, v), int), []
+    for r in rows:
+        w, second, other = B._split(np.frombuffer(r.key, np.int64))
+        assert (B.mix(w.astype(np.uint64), 77) % np.uint64(B.TURNS) == r.turn).all()
+        n = np.frombuffer(r.n, np.int64)
+        np.add.at(seen, (second.astype(int), np.where(second, other, w), np.where(second, w, other)), n)
+        of.append(set(w.tolist()))
+    assert (seen == big).all() and sum(map(len, of)) == len(set().union(*of)) == v
+    group = np.append(c, rng.integers(0, c, v - 1))
+    table = lambda g: np.array([[big[np.ix_(g == a, g == b)].sum() for b in range(c + 1)] for a in range(c + 1)])
+    assert (B._class_pairs(near, group, c) == table(group)).all()
+    for t in range(B.TURNS):
+        trial = group.copy()
+        mine = np.array([w for r, s in zip(rows, of) if r.turn == t for w in s if w != B.EDGE])
+        trial[mine] = rng.integers(0, c, len(mine))
+        assert (B._class_pairs(near, group, c) + B._class_pairs(near.where(f"turn = {t}"), trial, c, group) == table(trial)).all()
+
+
+@pytest.mark.parametrize("near, types", [(50, 5), (1 << 19, 7)])
+def test_classes_do_not_depend_on_the_parts(spark, docs, model, monkeypatch, near, types):
+    monkeypatch.setattr(B, "NEAR", near)
+    monkeypatch.setattr(B, "TYPES", types)
+    other = B.train(frame(spark, docs), classes=6, rounds=9)
+    assert (other.group == model.group).all() and (other.pairs == model.pairs).all()
