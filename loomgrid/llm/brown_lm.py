@@ -6,7 +6,8 @@ of its own, at any size of the corpus; rarer ones join others of like shape as o
 the core: their bigrams are counted and exchange clustering assigns them to ``CLASSES``
 classes, the other words counting as shapes meanwhile. In each round a third of the core is
 tried in every class and moves to the one that raises the likelihood of the class bigrams
-most; if the moves together lower it, the half with the lesser gains is taken back. Rounds
+most; if the moves together lower it, the half with the lesser gains is taken back, again and
+again; one pass counts for all these halves. Rounds
 end when a cycle in which every type was tried moves none, or raises the likelihood by less
 than ``MIN_GAIN`` a token. Then each other type goes to the class in which the words beside
 it, by their classes, are most likely. The class bigrams are counted over all documents with
@@ -63,6 +64,8 @@ AT_ONCE = 4_000_000
 NEAR = 1 << 19
 #: Types of which the neighbours are laid out by class at a time.
 TYPES = 1 << 10
+#: Trials of a round of which a task adds up the class bigrams.
+TRIALS = 4
 TINY = 1e-300
 #: Prefixes of word hashes by which types are found.
 _PREFIX = 20
@@ -326,31 +329,65 @@ def _split(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key >> (_BITS + 1), (key >> _BITS & 1).astype(bool), key & ((1 << _BITS) - 1)
 
 
-def _matrix(group: np.ndarray, classes: int, before: np.ndarray | None = None):
-    """Class bigrams, or how they change from the classes of ``before``: then only the rows of
-    types that move are looked at, and a bigram of two such types counts for its first one."""
+def _matrix(group: np.ndarray, classes: int):
+    """Class bigrams."""
     k = classes + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k)
-        moved = None if before is None else group != before
         for key, n in _rows(batches):
-            if moved is not None:
-                i = np.flatnonzero(moved[key >> (_BITS + 1)])
-                key, n = key[i], n[i]
             w, second, other = _split(key)
-            i = np.flatnonzero(~second if moved is None else ~(second & moved[other]))
-            w, second, other, n = w[i], second[i], other[i], n[i]
-            a, b = np.where(second, other, w), np.where(second, w, other)
-            total += np.bincount(group[a] * k + group[b], n, k * k)
-            if moved is not None:
-                total -= np.bincount(before[a] * k + before[b], n, k * k)
+            i = np.flatnonzero(~second)
+            total += np.bincount(group[w[i]] * k + group[other[i]], n[i], k * k)
         i = np.flatnonzero(total)
         yield pa.record_batch({"at": pa.array(i), "n": pa.array(total[i].astype(np.int64))})
 
     return run
 
 
+def _changes(group: np.ndarray, before: np.ndarray, level: np.ndarray, levels: int, classes: int):
+    """Packs, by trial, of how the class bigrams change from the classes of ``before`` if in trial k the types
+    of ``level`` k and more have those of ``group``. Only the rows of types that move are looked at, and a bigram
+    of two such types counts for its first one."""
+    k = classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # at a level, what its trial has more than the next one, in which fewer types move
+        more = np.zeros(levels * k * k)
+
+        def add(at: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return np.bincount((at * k + a) * k + b, n, levels * k * k)
+
+        for key, n in _rows(batches):
+            i = np.flatnonzero(level[key >> (_BITS + 1)] >= 0)
+            w, second, other = _split(key[i])
+            o = np.flatnonzero(~(second & (level[other] >= 0)))
+            w, second, other, n = w[o], second[o], other[o], n[i[o]]
+            a, b = np.where(second, other, w), np.where(second, w, other)
+            high, low = np.maximum(level[a], level[b]), np.minimum(level[a], level[b])
+            one = np.where(level[a] == high, group[a], before[a]), np.where(level[b] == high, group[b], before[b])
+            more += add(high, *one, n) - add(high, before[a], before[b], n)
+            o = np.flatnonzero((low >= 0) & (low < high))  # both move in the trials up to the lower level
+            if len(o):
+                a, b, low, n = a[o], b[o], low[o], n[o]
+                more += add(low, group[a], group[b], n) - add(low, one[0][o], one[1][o], n)
+        more = more.reshape(levels, k * k)
+        full = np.flatnonzero(more.any(1))
+        yield pa.record_batch({"trial": pa.array(full.astype(np.int32)), "n": _binary(more[full].astype(np.int64), np.full(len(full), k * k))})
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs of a trial, added up."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for trial, n in zip(b.column("trial").to_pylist(), b.column("n")):
+            total[trial] = total.get(trial, 0) + np.frombuffer(n.as_buffer(), np.int64)
+    for trial, n in total.items():
+        yield pa.record_batch({"trial": pa.array([trial], pa.int32()), "n": _binary(n, [len(n)])})
+
+
 def _moves(group: np.ndarray, pairs: np.ndarray, classes: int):
     """The best move of each type that gains by one."""
     k = classes + 1
@@ -382,12 +419,26 @@ def _moves(group: np.ndarray, pairs: np.ndarray, classes: int):
 
 def _class_pairs(near: DataFrame, group: np.ndarray, classes: int, before: np.ndarray | None = None) -> np.ndarray:
     """Class bigrams, or their change from the classes of ``before``."""
-    t = near.select("key", "n").mapInArrow(_matrix(group, classes, before), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    if before is not None:
+        return _trials(near, group, before, np.where(group != before, 0, -1), classes)[0]
+    t = near.select("key", "n").mapInArrow(_matrix(group, classes), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((classes + 1) ** 2, np.int64)
     out[t.column("at").to_numpy()] = t.column("n").to_numpy()
     return out.reshape(classes + 1, classes + 1)
 
 
+def _trials(near: DataFrame, group: np.ndarray, before: np.ndarray, level: np.ndarray, classes: int) -> np.ndarray:
+    """Change of the class bigrams in each trial: in trial k the types of ``level`` k and more move from their
+    class of ``before`` to that of ``group``. All trials take one pass."""
+    levels, packed = max(1, int(level.max()) + 1), "trial int, n binary"
+    rows = near.select("key", "n").mapInArrow(_changes(group, before, level, levels, classes), packed)
+    t = rows.repartitionById(math.ceil(levels / TRIALS), (F.col("trial") / TRIALS).cast("int")).mapInArrow(_added, packed).toArrow()
+    out = np.zeros((levels, classes + 1, classes + 1), np.int64)
+    for trial, n in zip(t.column("trial").to_pylist(), t.column("n")):
+        out[trial] = np.frombuffer(n.as_buffer(), np.int64).reshape(out.shape[1:])
+    return out[::-1].cumsum(0)[::-1]
+
+
 def exchange(near: DataFrame, group: np.ndarray, classes: int, rounds: int | None = None, min_gain: float = MIN_GAIN) -> tuple[np.ndarray, np.ndarray]:
     """Classes and their bigram counts after exchange from ``group``, to the end or for some rounds."""
     pairs = _class_pairs(near, group, classes)
@@ -398,14 +449,15 @@ def exchange(near: DataFrame, group: np.ndarray, classes: int, rounds: int | Non
         t = mine.select("key", "n").mapInArrow(_moves(group, pairs, classes), "w int, to int, gain double").toArrow()
         w, to, gain = (t.column(c).to_numpy() for c in ("w", "to", "gain"))
         order = np.lexsort([w, -gain])
-        while len(order):
-            trial = group.copy()
-            trial[w[order]] = to[order]
-            after = pairs + _class_pairs(mine, trial, classes, group)
-            if likelihood(after) > likelihood(pairs):
-                group, pairs = trial, after
+        trial, level = group.copy(), np.full(len(group), -1)
+        trial[w[order]] = to[order]
+        halves = [len(order) >> k for k in range(len(order).bit_length())]
+        for k, size in enumerate(halves):
+            level[w[order[:size]]] = k
+        for k, change in enumerate(_trials(mine, trial, group, level, classes) if halves else ()):
+            if likelihood(pairs + change) > likelihood(pairs):
+                group, pairs = np.where(level >= k, trial, group), pairs + change
                 break
-            order = order[: len(order) // 2]
         turn += 1
         if rounds is None and turn % TURNS == 0:
             now = likelihood(pairs)

@@ -267,3 +267,27 @@ def test_classes_do_not_depend_on_the_parts(spark, docs, model, monkeypatch, nea
     monkeypatch.setattr(B, "TYPES", types)
     other = B.train(frame(spark, docs), classes=6, rounds=9)
     assert (other.group == model.group).all() and (other.pairs == model.pairs).all()
+
+
+def test_all_halves_of_a_round_take_one_pass(spark, monkeypatch):
+    """The trials of a round are those of the whole table, each alone; a round in which all of them
+    fail reads its neighbours twice, for the moves and for the trials."""
+    rng = np.random.default_rng(35)
+    v, c = 300, 4
+    big = rng.integers(0, 5, (v, v)) * (rng.random((v, v)) < 0.2)
+    near = B.near_of(*packed_pairs(spark, big, 3)).localCheckpoint()
+    group = np.append(c, rng.integers(0, c, v - 1))
+    table = lambda g: np.array([[big[np.ix_(g == a, g == b)].sum() for b in range(c + 1)] for a in range(c + 1)])
+    mine = B.mix(np.arange(v).astype(np.uint64), 77) % np.uint64(B.TURNS) == 1
+    level = np.where(mine & (np.arange(v) != B.EDGE), rng.integers(-1, 6, v), -1)
+    trial = np.where(level >= 0, rng.integers(0, c, v), group)
+    found = B._trials(near.where("turn = 1"), trial, group, level, c)
+    assert len(found) == 6
+    for k in range(6):
+        assert (found[k] == table(np.where(level >= k, trial, group)) - table(group)).all()
+    steps, step = [], type(near).mapInArrow
+    monkeypatch.setattr(type(near), "mapInArrow", lambda df, f, *a, **k: steps.append(f.__qualname__.split(".")[0]) or step(df, f, *a, **k))
+    monkeypatch.setattr(B, "likelihood", lambda pairs: 0.0)
+    after, pairs = B.exchange(near, group, c, rounds=2)
+    assert (after == group).all() and (pairs == table(group)).all()
+    assert sum(x != "_added" for x in steps) == 5  # the class bigrams, and two for each round
