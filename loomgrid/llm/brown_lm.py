@@ -54,6 +54,7 @@ PART_BYTES = 8 << 20
 SCORE = "doc_id long, n_words long, log_prob double, perplexity double"
 #: shapes: digits, ASCII letters, other letters; by length up to 4, 8, 16 and beyond
 KINDS = 12
+_LENGTH = np.searchsorted([4, 8, 16], np.arange(18))
 EDGE = 0
 FIRST = 1 + KINDS  #: id of the most frequent type; 0 is the edge of a text, then the shapes
 #: bits of a type's id
@@ -75,11 +76,12 @@ def kinds(w: Words) -> np.ndarray:
     """Shape of each word, 0 to KINDS - 1."""
     if not len(w.hash):
         return np.zeros(0, np.int64)
-    flags = ((w.buf >= 48) & (w.buf < 58)) | ((w.buf >= 128).astype(np.uint8) << 1)
-    edges = np.stack([w.start, w.end], 1).ravel()
-    flags = np.bitwise_or.reduceat(np.append(flags, np.uint8(0)), edges)[::2]
-    group = np.where(flags & 1, 0, np.where(flags & 2, 2, 1))
-    return group * 4 + np.searchsorted([4, 8, 16], w.end - w.start)
+    so_far = np.zeros(len(w.buf) + 1, np.int32)
+    np.cumsum(w.buf >= 128, out=so_far[1:])
+    group = np.where(so_far[w.end] > so_far[w.start], 8, 4)
+    np.cumsum((w.buf >= 48) & (w.buf < 58), out=so_far[1:])
+    group[so_far[w.end] > so_far[w.start]] = 0
+    return group + _LENGTH[np.minimum(w.end - w.start, 17)]
 
 
 def sums(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -163,18 +165,20 @@ class Model:
     encoded: DataFrame | None = None  #: the training documents, from ``encode``
     index: tuple[np.ndarray, int] | None = field(default=None, repr=False)  #: of the keys, made where it is used
 
-    def types(self, w: Words) -> np.ndarray:
-        """Type of each word."""
-        key = keys_of(w)
-        kind = key & 15
+    def types(self, w: Words, key: np.ndarray | None = None) -> np.ndarray:
+        """Type of each word; ``key`` has its ``keys_of``."""
+        key = keys_of(w) if key is None else key
+        out = 1 + (key & 15)
         if not len(self.key):
-            return 1 + kind
+            return out
         first, most = self.starts()
-        at, out = first[(key >> (64 - _PREFIX)) + (1 << (_PREFIX - 1))], 1 + kind
-        for _ in range(most):
-            ok = self.key.take(at, mode="clip") == key
-            out = np.where(ok, self.ident.take(at, mode="clip"), out)
-            at = at + 1
+        at = first[(key >> (64 - _PREFIX)) + (1 << (_PREFIX - 1))]
+        ok = self.key.take(at, mode="clip") == key
+        out, left = np.where(ok, self.ident.take(at, mode="clip"), out), np.flatnonzero(~ok)
+        for step in range(1, most):
+            ok = self.key.take(at[left] + step, mode="clip") == key[left]
+            out[left[ok]] = self.ident.take(at[left[ok]] + step, mode="clip")
+            left = left[~ok]
         return out
 
     def starts(self) -> tuple[np.ndarray, int]:
@@ -268,8 +272,9 @@ def _pairs_of(model: Model):
     return run
 
 
-def sequence(w: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Types of all texts with words, with an edge before and after each, and their documents."""
+def sequence(w: Words, model: Model, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Types of all texts with words, with an edge before and after each, and their documents; ``key`` has the
+    ``keys_of`` the words."""
     size = np.diff(w.bounds)
     full = np.flatnonzero(size)
     if not len(full):
@@ -279,7 +284,7 @@ def sequence(w: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
     step[0] = 1
     at = np.cumsum(step)
     out = np.full(at[-1] + 2, EDGE, np.int64)
-    out[at] = model.types(w)
+    out[at] = model.types(w, key)
     doc = np.zeros(len(out), np.int64)
     doc[at] = w.doc
     doc[at[w.bounds[full + 1] - 1] + 1] = full
@@ -538,11 +543,12 @@ def _contexts(model: Model, parts: int):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in slices(batches, "text"):
             w = words(b.column("text"))
-            seq, doc = sequence(w, model)
+            own = keys_of(w)
+            seq, doc = sequence(w, model, own)
             c, at = model.group[seq], np.flatnonzero(seq != EDGE)
             i = np.flatnonzero(seq[at] < FIRST)
             beside = (c[at[i] - 1] << 8 | c[at[i] + 1]).astype(np.int16)
-            held.append((b.column("part").to_numpy()[doc[at[i]]], keys_of(w)[i], beside))
+            held.append((b.column("part").to_numpy()[doc[at[i]]], own[i], beside))
             if sum(len(x) for x, _, _ in held) >= AT_ONCE:
                 yield packs()
                 held = []
@@ -628,11 +634,12 @@ def _encode(parted: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
         out = []
         for b in slices(iter(texts.select(["doc_id", "text"]).to_batches()), "text"):
             w = words(b.column("text"))
-            kind = core.types(w)
+            own = keys_of(w)
+            kind = core.types(w, own)
             c, e = core.group[kind], emit[kind]
             i = np.flatnonzero(kind < FIRST)
             if len(i) and len(key):
-                mine = keys_of(w)[i]
+                mine = own[i]
                 at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
                 ok = key[at] == mine
                 c[i[ok]], e[i[ok]] = cls[at[ok]], log[at[ok]]
@@ -653,8 +660,9 @@ def _unknown(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             w = words(b.column("text"))
-            i = np.flatnonzero(model.types(w) < FIRST)
-            x = np.stack([b.column("part").to_numpy()[w.doc[i]], keys_of(w)[i]], 1)
+            own = keys_of(w)
+            i = np.flatnonzero(model.types(w, own) < FIRST)
+            x = np.stack([b.column("part").to_numpy()[w.doc[i]], own[i]], 1)
             x = x[np.lexsort((x[:, 1], x[:, 0]))]
             x = x[np.concatenate([[True], (x[1:] != x[:-1]).any(1)])] if len(x) else x
             yield pa.record_batch({"part": pa.array(x[:, 0]), "key": pa.array(x[:, 1])})

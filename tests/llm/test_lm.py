@@ -291,3 +291,22 @@ def test_all_halves_of_a_round_take_one_pass(spark, monkeypatch):
     after, pairs = B.exchange(near, group, c, rounds=2)
     assert (after == group).all() and (pairs == table(group)).all()
     assert sum(x != "_added" for x in steps) == 5  # the class bigrams, and two for each round
+
+
+def test_shapes_are_those_of_a_loop_and_keys_are_taken_once(monkeypatch):
+    texts = [*(d[1] for d in ODD), "a1 abcde naïve ünïcödë9 123456789012345678 ٣٤ x " + "y" * 16 + " " + "z" * 17, "end7", prose(random.Random(36), 500, 90)]
+    w = words(pa.array(texts, pa.string()))
+    loop = []
+    for a, b in zip(w.start.tolist(), w.end.tolist()):
+        x = bytes(w.buf[a:b])
+        loop.append((0 if any(48 <= c < 58 for c in x) else 2 if max(x) >= 128 else 1) * 4 + sum(len(x) > n for n in (4, 8, 16)))
+    assert B.kinds(w).tolist() == loop and set(loop) >= {0, 3, 4, 7, 8, 9}
+    key = np.unique(B.keys_of(w))[::2]
+    ident = B.FIRST + np.arange(len(key))
+    model = B.Model(key, ident, np.zeros(0), np.zeros(B.KINDS), np.zeros(B.FIRST + len(key), np.int64), np.zeros((2, 2)), 1)
+    batch = pa.record_batch({"text": pa.array(texts, pa.string()), "part": pa.array([0] * len(texts))})
+    taken, keys_of = [], B.keys_of
+    monkeypatch.setattr(B, "keys_of", lambda w: taken.append(1) or keys_of(w))
+    for run in (B._contexts(model, 3), B._unknown(model)):
+        taken.clear()
+        assert list(run(iter([batch]))) and len(taken) == 1
