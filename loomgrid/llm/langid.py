@@ -355,11 +355,18 @@ def label_languages(docs: DataFrame, model: Model, min_share: float = MIN_SHARE)
     return docs.select("doc_id", "text").mapInArrow(_labeller(model, min_share), RESULT)
 
 
-def keep_identified(docs: DataFrame, model: Model, min_share: float = MIN_SHARE) -> DataFrame:
-    """The documents of one known dominant language, all columns kept, in one pass."""
+#: bytes of text that are labelled at a time where whole rows pass: the Arrow batch of all columns is held beside
+KEEP_BYTES = 1 << 19
+
 
+def _keeper(model: Model, min_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", KEEP_BYTES):
             yield b.filter(pa.array(_accepts(spans_of(b.column("text"), model), model, min_share)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return run
+
+
+def keep_identified(docs: DataFrame, model: Model, min_share: float = MIN_SHARE) -> DataFrame:
+    """The documents of one known dominant language, all columns kept, in one pass."""
+    return docs.mapInArrow(_keeper(model, min_share), docs.schema)

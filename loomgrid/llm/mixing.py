@@ -23,7 +23,8 @@ import heapq
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import BROADCAST_BYTES, clear_names, materialize, row_key
@@ -178,7 +179,7 @@ def plan(docs: DataFrame, weights: dict[str, float] | None, budget: float, pools
         from pyspark.sql import Window
 
         start = sums.withColumn("end", F.sum("n").over(Window.partitionBy("pattern").orderBy("r"))).select("pattern", "r", (F.col("end") - F.col("n")).alias("low"), "end")
-        want = spark.createDataFrame(inner, "pattern string, b long")
+        want = _local(spark, inner, pattern=pa.string(), b=pa.int64())
         near = F.broadcast(want) if len(inner) * 200 < BROADCAST_BYTES else want
         hit = start.join(near, "pattern").where("low <= b and b < end").select("pattern", "r", "b", "low")
         here = slim.join(F.broadcast(hit) if len(inner) * 200 < BROADCAST_BYTES else hit, ["pattern", "r"])
@@ -199,6 +200,13 @@ def plan(docs: DataFrame, weights: dict[str, float] | None, budget: float, pools
     return out
 
 
+def _local(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """Rows of the driver by way of Arrow. A list would go through Python workers of another kind,
+    with a daemon of their own, which stay beside those of the other stages."""
+    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())]
+    return spark.createDataFrame(pa.table(columns, list(kinds)))
+
+
 def order_hash(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), row_key("doc_id"))
 
@@ -217,7 +225,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     while any(c.lower().startswith(tag) for c in names):
         tag += "_"
     keyed = docs.withColumns({f"{tag}p": F.array_join(pools, "\x1f"), f"{tag}h": order_hash(seed)})
-    want = spark.createDataFrame(todo, f"{tag}p string, pool string, copy int, {tag}lo long, {tag}hi long")
+    want = _local(spark, todo, **{f"{tag}p": pa.string(), "pool": pa.string(), "copy": pa.int32(), f"{tag}lo": pa.int64(), f"{tag}hi": pa.int64()})
     grouped = want.groupBy(f"{tag}p").agg(F.collect_list(F.struct("pool", "copy", f"{tag}lo", f"{tag}hi")).alias(f"{tag}w"))
     if len(todo) * 200 < BROADCAST_BYTES:
         grouped = F.broadcast(grouped)

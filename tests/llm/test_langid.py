@@ -128,3 +128,19 @@ def test_scoring_in_parts_changes_nothing(model):
     whole = scores(words(texts))
     alone = np.concatenate([scores(words(texts.slice(i, 1))) for i in range(2)])
     assert np.allclose(whole, alone)
+
+
+def test_rows_are_kept_in_little_memory(model):
+    import tracemalloc
+
+    rng = random.Random(9)
+    some = [text(rng, lang, 300) for lang in SYLLABLES for _ in range(20)]
+    b = pa.record_batch({"doc_id": pa.array(range(3000)), "text": pa.array([some[i % 60] if i % 7 else "12 34" for i in range(3000)])})
+    want = L._accepts(L.spans_of(b.column("text"), model), model, L.MIN_SHARE)
+    keep = L._keeper(model, L.MIN_SHARE)
+    list(keep(iter([b.slice(0, 10)])))  # fills the caches
+    tracemalloc.start()
+    kept = [i for part in keep(iter([b])) for i in part.column("doc_id").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert b.nbytes > 5e6 and peak < 40e6 and kept == np.flatnonzero(want).tolist() and 0 < len(kept) < 3000

@@ -53,6 +53,13 @@ def test_flow_against_all_flows():
         assert mine == best
 
 
+def test_the_plan_is_sent_without_python_workers(spark):
+    out = M.mix(frame(spark, corpus()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "LocalTableScan" in plan  # the scan of the test's own frame
+    assert M.mix(frame(spark, []), {}).count() == 0
+
+
 def test_weights_are_met(spark):
     data = corpus()
     weights = {"source:web": 1, "source:book": 2, "lang:fr": 1}
